@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate
+from tarnwick.llm import decontaminate, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_quality": quality.op2_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
