@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, quality, toxicity
+from tarnwick.llm import decontaminate, near_dup, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_quality": quality.op2_quality,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_near_dup": near_dup.op5_near_dup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
