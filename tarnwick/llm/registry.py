@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, near_dup, quality, toxicity
+from tarnwick.llm import decontaminate, near_dup, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,5 +15,8 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_topk": topk.op7_topk,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": topk.OP7_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
