@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, near_dup, quality, topk, toxicity
+from tarnwick.llm import decontaminate, html_text, near_dup, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_topk": topk.op7_topk,
+    "op10_html_text": html_text.op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": topk.OP7_SQL,
