@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, html_text, near_dup, quality, topk, toxicity
+from tarnwick.llm import decontaminate, html_text, mixing, near_dup, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_mixture": mixing.op1_mixture,
     "op2_quality": quality.op2_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_dup": near_dup.op5_near_dup,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Query] = {
     "op10_html_text": html_text.op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixture": mixing.OP1_SQL,
     "op7_topk": topk.OP7_SQL,
 }
