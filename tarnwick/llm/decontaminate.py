@@ -181,6 +181,31 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP6_SQL = f"""
+with b as (
+  select cast(item_id as varchar) as item, {_SQL_WORDS} as w from benchmark where item_id is not null
+), pattern as (
+  select distinct item, n, array_to_string(w[i + 1:i + n], ' ') as t
+  from (select *, unnest(range(len(w) - n + 1)) as i from (select item, w, least(10, len(w)) as n from b where len(w) > 0))
+), d as (
+  select row_number() over () as r, doc_id, {_SQL_WORDS} as w from documents
+), gram as (
+  select r, n, i, array_to_string(w[i + 1:i + n], ' ') as t
+  from (select r, w, n, unnest(range(len(w) - n + 1)) as i from d, (select distinct n from pattern) where len(w) >= n)
+), hit as (
+  select r, i, n, item from gram join pattern using (n, t)
+), covered as (
+  select r, count(distinct word) as n_hit from (select r, unnest(range(i, i + n)) as word from hit) group by 1
+), items as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from hit) group by 1
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (r) left join items using (r)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], n: int = 10) -> dict:
     """The same digest by comparing every window with every position; for tests."""
     windows: dict[tuple[bytes, ...], set[str]] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, html_text, licenses, mixing, near_dup, quality, topk, toxicity
+from tarnwick.llm import decontaminate, html_text, licenses, mixing, near_dup, quality, substring_dup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +17,14 @@ QUERIES: dict[str, Query] = {
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_topk": topk.op7_topk,
+    "op8_substring_dup": substring_dup.op8_substring_dup,
     "op9_licenses": licenses.op9_licenses,
     "op10_html_text": html_text.op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixture": mixing.OP1_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_topk": topk.OP7_SQL,
+    "op8_substring_dup": substring_dup.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
 }

@@ -40,7 +40,7 @@ def test_places_match_brute_force(spark):
     assert sorted([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows], key=key) == sorted([(d, *base(t)) for d, t in DOCS], key=key)
     by = {r.doc_id: r for r in rows}
     assert by[6].labels == "mit" and by[6].base_labels == "" and by[6].score == 1.0
-    assert by[8].score == 0.0 and by[8].labels == ""
+    assert 0 < by[8].score < 0.2 and by[8].labels == ""
     assert by[3].score == by[4].score == 0.0 and by[2].labels == "apache-2,cc-by-nc"
     assert by[7].score >= 0.7
 
