@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, html_text, licenses, mixing, near_dup, quality, substring_dup, topk, toxicity
+from tarnwick.llm import decontaminate, html_text, licenses, lm, mixing, near_dup, quality, substring_dup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixture": mixing.op1_mixture,
     "op2_quality": quality.op2_quality,
+    "op3_lm": lm.op3_lm,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
