@@ -46,7 +46,12 @@ ANCHOR = 5
 #: Words in one index, and different segments from which an anchor counts as hot.
 SHARD_WORDS = 1_000_000
 HOT = 50_000
+SPAN = WINDOW - ANCHOR + 1
+#: Bytes of text worked on at a time.
+GROUP = 1 << 20
 _LAST = 2**63 - 1
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -66,52 +71,93 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """Segments of one text: arrays anchor, content, start, windows, again (a window repeats within the segment)."""
+    """Segments of many texts at once, as arrays: text (its number), anchor, content, start (first word within the text), windows.
 
-    def __init__(self, words: list[bytes]) -> None:
-        n = len(words)
-        self.count = max(0, n - WINDOW + 1)
-        if not self.count:
+    Words are never made into objects: their hashes are differences of running sums over the
+    bytes, and the hashes of runs of words differences of running sums over those.
+    """
+
+    def __init__(self, texts: list[bytes]) -> None:
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        blank = _BLANK[data]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if not blank[0]:
+            edge = np.concatenate([[0], edge])
+        begin, end = edge[::2], edge[1::2]
+        power, inverse = _power_tables(len(data) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * power[: len(data)])])
+        w = _mix(_mix((sums[end] - sums[begin]) * inverse[begin]) + (end - begin).astype(np.uint64))
+        sizes = np.array([len(t) + 1 for t in texts])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        #: Where each text's words begin among all words, and one more for their number.
+        self.first_word = np.searchsorted(begin, offsets)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(w * power[: len(w)])])
+        self.inverse = inverse
+        n = len(w)
+        words_of = np.diff(self.first_word)
+        behind = np.repeat(self.first_word[1:], words_of)
+        place = np.flatnonzero(np.arange(n) + WINDOW <= behind)
+        if not len(place):
+            self.text = self.start = self.windows = self.begin = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.int64)
-            self.start = self.windows = np.zeros(0, np.int64)
-            self.again = np.zeros(0, bool)
             return
-        digest = xxhash.xxh64_intdigest
-        w = np.array([digest(x) for x in words], np.uint64)
-        power, inverse = _power_tables(n + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(w * power[:n])])
-        grams = _mix((sums[ANCHOR:] - sums[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
+        grams = _mix((self.sums[ANCHOR:] - self.sums[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
         # the smallest of the runs in each window, by doubling
-        span, smallest, have = WINDOW - ANCHOR + 1, grams, 1
+        span, smallest, have = SPAN, grams, 1
         while have * 2 <= span:
             smallest, have = np.minimum(smallest[:-have], smallest[have:]), have * 2
         if have < span:
-            smallest = np.minimum(smallest[: self.count], smallest[span - have : span - have + self.count])
-        new = np.concatenate([[True], smallest[1:] != smallest[:-1]])
-        begin = np.flatnonzero(new)
+            smallest = np.minimum(smallest[: have - span], smallest[span - have :])
+        smallest = smallest[place]
+        of = np.repeat(np.arange(len(texts)), words_of)[place]
+        new = np.concatenate([[True], (smallest[1:] != smallest[:-1]) | (of[1:] != of[:-1])])
+        run = np.flatnonzero(new)
         # a text that repeats one word keeps its anchor for long: such runs are cut
-        offset = np.arange(self.count) - begin[np.cumsum(new) - 1]
-        self.start = np.flatnonzero(offset % span == 0)
-        ends = np.concatenate([self.start[1:], [self.count]])
-        self.windows = ends - self.start
-        self.anchor = smallest[self.start].view(np.int64)
-        self.content = self.hashes(sums, inverse, self.start, ends + WINDOW - 1)
-        whole = self.hashes(sums, inverse, np.arange(self.count), np.arange(self.count) + WINDOW)
-        of = np.repeat(np.arange(len(self.start)), self.windows)
-        self.again = np.zeros(len(self.start), bool)
-        for d in range(1, min(span, self.count)):
+        at = np.flatnonzero((np.arange(len(place)) - run[np.cumsum(new) - 1]) % span == 0)
+        self.windows = np.diff(np.concatenate([at, [len(place)]]))
+        self.text, self.begin, self.anchor = of[at], place[at], smallest[at].view(np.int64)
+        self.start = self.begin - self.first_word[self.text]
+        self.content = self._hashes(self.begin, self.begin + self.windows + WINDOW - 1)
+
+    def _hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix(_mix((self.sums[end] - self.sums[begin]) * self.inverse[begin]) + (end - begin).astype(np.uint64)).view(np.int64)
+
+    def window_hashes(self, i: int) -> np.ndarray:
+        at = self.begin[i] + np.arange(self.windows[i])
+        return self._hashes(at, at + WINDOW)
+
+    def again(self) -> np.ndarray:
+        """Whether a window stands twice in the segment."""
+        out = np.zeros(len(self.text), bool)
+        if not len(out):
+            return out
+        of = np.repeat(np.arange(len(out)), self.windows)
+        at = self.begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
+        whole = self._hashes(at, at + WINDOW)
+        for d in range(1, SPAN):
+            if len(of) <= d:
+                break
             equal = (whole[d:] == whole[:-d]) & (of[d:] == of[:-d])
-            if equal.any():
-                self.again[of[:-d][equal]] = True
-        self.whole = whole
-
-    @staticmethod
-    def hashes(sums: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix(_mix((sums[end] - sums[begin]) * inverse[begin]) + (end - begin).astype(np.uint64)).view(np.int64)
+            out[of[:-d][equal]] = True
+        return out
 
     def firsts(self) -> np.ndarray:
-        """Numbers of the segments whose content stands nowhere before in this text."""
-        return np.sort(np.unique(self.content, return_index=True)[1])
+        """Numbers of the segments whose content stands nowhere before in their text."""
+        order = np.lexsort((self.content, self.text))
+        c, t = self.content[order], self.text[order]
+        return np.sort(order[np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])]) if len(order) else order
+
+
+def _groups(texts: list[bytes]) -> Iterator[range]:
+    """Ranges of texts of about GROUP bytes."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > GROUP:
+            yield range(at, i)
+            at, size = i, 0
+        size += len(text)
+    if at < len(texts):
+        yield range(at, len(texts))
 
 
 def _ids(batch: pa.RecordBatch, at: int = 0) -> list[int]:
@@ -126,12 +172,12 @@ def _occurrences(docs: DataFrame, combine: bool) -> DataFrame:
     """(anchor, content, doc, n) of each text's different segments; combined, doc is the smallest of the batch and n counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for doc, text in zip(_ids(batch), texts(batch, "text"), strict=True):
-            s = Segments(plain_words(text))
-            if s.count:
-                first = s.firsts()
-                parts.append((s.anchor[first], s.content[first], np.full(len(first), doc), 1 + s.again[first].astype(np.int64)))
+        parts, ids, all_texts = [], np.array(_ids(batch)), texts(batch, "text")
+        for group in _groups(all_texts):
+            s = Segments(all_texts[group.start : group.stop])
+            first = s.firsts()
+            n = 1 + s.again()[first].astype(np.int64) if combine else np.ones(len(first), np.int64)
+            parts.append((s.anchor[first], s.content[first], ids[group.start + s.text[first]], n))
         if not parts:
             return None
         anchor, content, doc, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -200,24 +246,31 @@ def _indexed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _contents(with_lists: DataFrame) -> DataFrame:
-    """(anchor, doc, start, content, offset, words) of the segments each document is asked for; offset is -1 but for single windows."""
+def _contents(with_lists: DataFrame, text_col: str) -> DataFrame:
+    """(anchor, doc, start, content, offset, words) of the segments each document is asked for; offset is -1 but for single windows.
+
+    `with_lists` has columns __of, __asked and the text.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows: list[tuple] = []
-        for doc, text, asked in zip(_ids(batch), texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
-            words = plain_words(text)
-            s = Segments(words)
-            want = {x["content"]: x["hot"] for x in asked}
-            for i in s.firsts():
-                content, start, count = int(s.content[i]), int(s.start[i]), int(s.windows[i])
-                hot = want.get(content)
+        column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
+        ids, all_texts, asked = column("__of"), texts(batch, text_col), column("__asked")
+        for group in _groups(all_texts):
+            s = Segments(all_texts[group.start : group.stop])
+            first, wanted, at = s.firsts(), {}, -1
+            for i, k, content, start, count, anchor in zip(first.tolist(), *(x[first].tolist() for x in (s.text, s.content, s.start, s.windows, s.anchor)), strict=True):
+                if k != at:
+                    at, wanted = k, {x["content"]: x["hot"] for x in asked[group.start + k]}
+                    words = plain_words(all_texts[group.start + k])
+                hot = wanted.get(content)
                 if hot is None:
                     continue
+                doc = ids[group.start + k]
                 if hot:
-                    rows += [(int(s.whole[start + k]), doc, start + k, content, k, b" ".join(words[start + k : start + k + WINDOW])) for k in range(count)]
+                    rows += [(h, doc, start + o, content, o, b" ".join(words[start + o : start + o + WINDOW])) for o, h in enumerate(s.window_hashes(i).tolist())]
                 else:
-                    rows.append((int(s.anchor[i]), doc, start, content, -1, b" ".join(words[start : start + count + WINDOW - 1])))
+                    rows.append((anchor, doc, start, content, -1, b" ".join(words[start : start + count + WINDOW - 1])))
         if not rows:
             return None
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -226,47 +279,58 @@ def _contents(with_lists: DataFrame) -> DataFrame:
     return map_batches(with_lists, run, "anchor long, doc long, start int, content long, offset int, words binary")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc, cuts): for each document that loses words its segments (content hash) and the windows of each as a mask, -1 for all.
+def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with a column __cuts: the segments that lose words (content hash) and the windows of each as a mask, -1 for all.
 
-    `docs` has columns doc and text.
+    Texts are dealt out by document once; both joins, for the contents and for the cuts, read that one exchange,
+    which is why both take all columns.
     """
-    segments = _repeated(docs)
-    elsewhere = _occurrences(docs, combine=False).join(segments.filter("n > 1").select("anchor", "content", "first"), ["anchor", "content"])
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    dealt = docs.withColumn("__of", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).repartition("__of")
+    segments = _repeated(narrow)
+    elsewhere = _occurrences(narrow, combine=False).join(segments.filter("n > 1").select("anchor", "content", "first"), ["anchor", "content"])
     whole = elsewhere.filter("doc != first").select("doc", "content", F.lit(-1).cast("long").alias("mask"))
-    asked = segments.groupBy(F.col("first").alias("of")).agg(F.collect_list(F.struct("content", (F.col("kinds") > HOT).alias("hot"))).alias("asked"))
-    contents = _contents(docs.join(asked, F.coalesce("doc", F.lit(_LAST)) == F.col("of")).select("doc", "text", "asked"))
+    asked = segments.groupBy(F.col("first").alias("__of")).agg(F.collect_list(F.struct("content", (F.col("kinds") > HOT).alias("hot"))).alias("__asked"))
+    contents = _contents(dealt.join(asked, "__of"), text_col)
     matched = contents.repartition("anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_indexed, "doc long, content long, mask long")
-    return whole.unionByName(matched).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("content", "mask")).alias("cuts"))
-
-
-def removed_words(words: list[bytes], cuts: list[dict]) -> np.ndarray:
-    """Which words of a text are covered by a repeated window."""
-    s = Segments(words)
-    masks: dict[int, int] = {}
-    for x in cuts:
-        masks[x["content"]] = masks.get(x["content"], 0) | x["mask"]
-    edge = np.zeros(len(words) + 1, np.int64)
-    seen = set()
-    for content, start, windows in zip(s.content.tolist(), s.start.tolist(), s.windows.tolist(), strict=True):
-        mask = -1 if content in seen else masks.get(content, 0)
-        seen.add(content)
-        if mask == -1:
-            edge[start] += 1
-            edge[start + windows + WINDOW - 1] -= 1
-        elif mask:
-            for k in range(windows):
-                if mask >> k & 1:
-                    edge[start + k] += 1
-                    edge[start + k + WINDOW] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    cuts = whole.unionByName(matched).groupBy(F.col("doc").alias("__of")).agg(F.collect_list(F.struct("content", "mask")).alias("__cuts"))
+    return dealt.join(cuts, "__of", "left").drop("__of")
 
 
-def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`docs` with a column __cuts."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = removals(narrow)
-    return docs.join(found.select(F.col("of").alias("__of"), F.col("cuts").alias("__cuts")), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("__of"), "left").drop("__of")
+def removed_words(all_texts: list[bytes], cuts: list[list[dict] | None]) -> list[np.ndarray | None]:
+    """For each text which of its words are covered by a repeated window; None if it holds no repetition at all.
+
+    A segment whose content stands earlier in the same text goes whole, reported or not.
+    """
+    out: list[np.ndarray | None] = []
+    for group in _groups(all_texts):
+        part = all_texts[group.start : group.stop]
+        s = Segments(part)
+        first = np.zeros(len(s.text), bool)
+        first[s.firsts()] = True
+        edges = [None] * len(part)
+        at, masks = -1, {}
+        for k, content, start, windows, new in zip(*(x.tolist() for x in (s.text, s.content, s.start, s.windows, first)), strict=True):
+            if k != at:
+                at, masks = k, {}
+                for x in cuts[group.start + k] or ():
+                    masks[x["content"]] = masks.get(x["content"], 0) | x["mask"]
+            mask = masks.get(content, 0) if new else -1
+            if not mask:
+                continue
+            if edges[k] is None:
+                edges[k] = np.zeros(s.first_word[k + 1] - s.first_word[k] + 1, np.int64)
+            edge = edges[k]
+            if mask == -1:
+                edge[start] += 1
+                edge[start + windows + WINDOW - 1] -= 1
+            else:
+                for o in range(windows):
+                    if mask >> o & 1:
+                        edge[start + o] += 1
+                        edge[start + o + WINDOW] -= 1
+        out += [None if e is None else np.cumsum(e[:-1]) > 0 for e in edges]
+    return out
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,14 +340,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, stay, out = batch.schema.get_field_index(text_col), [], []
         cuts = batch.column(batch.schema.get_field_index("__cuts")).to_pylist()
-        for old, text, cut in zip(batch.column(at).to_pylist(), texts(batch, text_col), cuts, strict=True):
-            new = old
-            words = plain_words(text)
-            gone = removed_words(words, cut or [])
-            if gone.any():
-                new = _cut_out(text, words, gone).decode(errors="replace")
-            stay.append(not len(gone) or not gone.all())
-            out.append(new)
+        all_texts = texts(batch, text_col)
+        for old, text, gone in zip(batch.column(at).to_pylist(), all_texts, removed_words(all_texts, cuts), strict=True):
+            out.append(old if gone is None else _cut_out(text, plain_words(text), gone).decode(errors="replace"))
+            stay.append(gone is None or not gone.all())
         columns = [pa.array(out, pa.string()) if f.name == text_col else batch.column(batch.schema.get_field_index(f.name)) for f in fields]
         return pa.RecordBatch.from_arrays(columns, [f.name for f in fields]).filter(pa.array(stay))
 
@@ -306,12 +366,13 @@ def op8_substring_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, digests = [], [], []
-        for text, cuts in zip(texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
+        all_texts = texts(batch, "text")
+        for text, gone in zip(all_texts, removed_words(all_texts, batch.column(2).to_pylist()), strict=True):
             words = plain_words(text)
-            gone = removed_words(words, cuts or [])
             total.append(len(words))
-            removed.append(int(gone.sum()))
-            digests.append(hashlib.sha256(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x)).hexdigest())
+            removed.append(0 if gone is None else int(gone.sum()))
+            kept = words if gone is None else [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         return _batch(["doc_id", "n_words", "n_removed", "kept_sha256"], [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())])
 
     return map_batches(docs.select("doc_id", "text", "__cuts"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
