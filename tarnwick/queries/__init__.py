@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tarnwick.queries import articles, catalog, geography, ingest, mentions, operations, resolution  # noqa: F401
+    from tarnwick.queries import articles, catalog, flows, geography, ingest, mentions, operations, resolution  # noqa: F401
