@@ -67,3 +67,20 @@ def geojson_box(geometry: str) -> Column:
     numbers = F.transform(F.regexp_extract_all(F.get_json_object(geometry, "$.coordinates"), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
     lon, lat = F.filter(numbers, lambda _, i: i % 2 == 0), F.filter(numbers, lambda _, i: i % 2 == 1)
     return F.struct(F.array_min(lon).alias("west"), F.array_min(lat).alias("south"), F.array_max(lon).alias("east"), F.array_max(lat).alias("north"))
+
+
+def coverage_level(cells, column: str, most: int = 5000) -> int:
+    """The finest level at which the quadrant keys of a frame are at most `most` cells: one aggregate counts all levels."""
+    deepest = cells.agg(F.max(F.length(column))).first()[0] or 0
+    if not deepest:
+        return 0
+    row = cells.agg(*(F.count_distinct(parent(column, n)).alias(str(n)) for n in range(1, deepest + 1))).first()
+    return max((n for n in range(1, deepest + 1) if row[str(n)] <= most), default=0)
+
+
+def viewport_level(west: float, south: float, east: float, north: float, across: int = 32, finest: int = 15) -> int:
+    """The level at which a view shows about `across` cells by the geometric mean of its sides."""
+    import math
+
+    side = math.sqrt(max(1e-9, (east - west) % 360 or 360) / 360 * max(1e-9, north - south) / 180)
+    return max(0, min(finest, round(math.log2(across / side))))

@@ -71,3 +71,11 @@ def geo_issue_union(spark, sf_dir):
     nations = places(spark, sf_dir, "nation", "n_nationkey", "at_").select("n_nationkey", "at_lon", "at_lat")
     linked = table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     return c.geography_issues(e, linked.select(F.col("l_suppkey").alias("id"), "at_lon", "at_lat"), 9000.0)
+
+
+@query(f"with c as (select c_custkey, {_AT.format('c_custkey', '')} from customer), x as (select c_custkey, {_CELL} from c), k as (select c_custkey, {_KEY} as cell from x) select cell, cast(count(*) as bigint) as places from k group by 1")
+def grid_coverage(spark, sf_dir):
+    """Cells as fine as 64 of them allow."""
+    rows = places(spark, sf_dir, "customer", "c_custkey").select(geo.cell("lon", "lat", 6).alias("fine"))
+    level = geo.coverage_level(rows, "fine", 64)
+    return rows.groupBy(geo.parent("fine", level).alias("cell")).agg(F.count("*").alias("places"))

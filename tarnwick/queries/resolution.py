@@ -87,3 +87,37 @@ def decision_ladder(spark, sf_dir):
     c = c.withColumn("exact", (F.col("canonical") == F.col("id")) & (F.col("id") % 20 == 3)).withColumn("score", r.gated(F.col("similarity"), F.col("canonical") % 4 == 1))
     names = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50 == 3).alias("private"), (F.col("c_custkey") % 40 != 13).alias("materializable"))
     return r.decide(c, names, "id")
+
+
+@query(
+    "with e as (select a.c_custkey as id, b.c_custkey as canonical from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey <> b.c_custkey where a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1 and a.c_acctbal > 5000),"
+    " r as (select a.c_custkey as id, cast(count(*) as bigint) as n from customer a join customer b on a.c_nationkey = b.c_nationkey where a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1 and 20 * cast(a.c_mktsegment = b.c_mktsegment as integer) + b.c_custkey % 30 >= 45 group by 1), x as (select id, count(distinct canonical) as exacts, min(canonical) as one from e group by 1)"
+    " select c_custkey as id, case when exacts = 1 then 'LINK' when exacts > 1 then 'DEFER' when n > 0 then 'DEFER' else 'MATERIALIZE' end as decision, case when exacts = 1 then one end as canonical from customer left join x on x.id = c_custkey left join r on r.id = c_custkey where c_custkey % 2 = 0"
+)
+def strict_decision(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    a = c.filter("c_custkey % 2 = 0").selectExpr("c_custkey as id", "c_nationkey", "c_mktsegment as seg", "c_acctbal")
+    b = c.filter("c_custkey % 2 = 1").selectExpr("c_custkey as canonical", "c_nationkey", "c_mktsegment as seg_b")
+    near = a.join(b, "c_nationkey")
+    exact = near.filter("seg = seg_b and c_acctbal > 5000").select("id", "canonical")
+    recalled = near.select("id", "canonical", (20 * (F.col("seg") == F.col("seg_b")).cast("int") + F.col("canonical") % 30).alias("points"))
+    return r.decide_strictly(a, exact, recalled, "id", 45)
+
+
+@query(
+    "with d as (select c_custkey as id, case when c_custkey % 3 = 0 then 'DEFER' else 'LINK' end as decision, case when c_custkey % 3 > 0 then c_custkey % 120 end as canonical from customer), j as (select d.*, s_name, s_acctbal > 0 as active, c_custkey, s_suppkey % 4 = 0 or s_suppkey = d.id as alike from d join customer on c_custkey = d.id left join supplier on s_suppkey = canonical)"
+    " select id, case when decision = 'LINK' and (s_name is null or not active or not alike) then case when id % 2 = 0 then 'MATERIALIZE' else 'DEFER' end else decision end as decision, case when not (decision = 'LINK' and (s_name is null or not active or not alike)) then canonical end as canonical from j"
+)
+def link_commit_gate(spark, sf_dir):
+    decided = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "case when c_custkey % 3 = 0 then 'DEFER' else 'LINK' end as decision", "case when c_custkey % 3 > 0 then c_custkey % 120 end as canonical")
+    canonicals = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as canonical", "case when s_suppkey % 4 = 0 then concat('Customer ', s_suppkey) else s_name end as label", "s_acctbal > 0 as active")
+    names = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "replace(c_name, '#', ' ') as name", "c_custkey % 2 = 0 as materializable")
+    return r.commit_gate(decided, canonicals, names, "id")
+
+
+@query(
+    f"with k as (select unnest(['bolt', 'gadget', 'ring', 'widget']) as n), g as (select n, {_GRAMS.format('n')} as g from k), p as (select distinct p_name, {_GRAMS.format('p_name')} as g from part), s as (select p_name, n, len(list_intersect(p.g, g.g)) / cast(len(list_distinct(list_concat(p.g, g.g))) as double) as s from p, g),"
+    " b as (select *, row_number() over (partition by p_name order by s desc, n) as r from s) select p_name, case when s >= 0.3 then n end as category from b where r = 1"
+)
+def category_mapping(spark, sf_dir):
+    return r.closest(table(spark, sf_dir, "part").select("p_name").distinct(), "p_name", ["widget", "bolt", "ring", "gadget"])
