@@ -17,7 +17,7 @@ ASIDE = frozenset("nav footer aside form head dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu menubar alert".split())
 #: Words in class and id that name what is not the article.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu\w*|masthead|header|footer|side|sidebar\w*|aside|notices?|cookies?\w*|consent|gdpr|banner|ads?|adverts?|advertis\w+|"
+    r"(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(?:nav|navbar|navigation|menu\w*|masthead|header|footer|side|sidebar\w*|aside|notices?|cookies?\w*|consent|gdpr|banner|ads?|adverts?|advertis\w+|"
     r"sponsor\w*|promo\w*|popup|modal|overlay|comments?|commentlist|comment\w+|disqus\w*|respond|replies|form|search|login|signup|subscribe|subscription|newsletter|"
     r"share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|widgets?|toolbar|skip|copyright)(?:$|[\s_-])"
 )

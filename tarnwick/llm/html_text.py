@@ -7,9 +7,9 @@ are deleted.
 
 Alone, this can't give whole articles: a passage that two neighbours quote would go, and a
 menu drawn anew for every page would stay. So the page's own marks come in. Lines in places
-marked as no main text (menus, footers, forms, adverts, comments ...) always go; lines inside
-an <article> are never deleted as shared; and a page with an <article>, <main> or a named
-content container yields the lines of the strongest of these alone. Two pages of which more
+marked as no main text (menus, footers, forms, adverts, comments ...) always go; a page with an
+<article>, <main> or a named content container yields the lines of the strongest of these alone,
+and they are never deleted as shared; all other pages lose the lines they share. Two pages of which more
 than `COPY` of the lines that are left agree count as copies of one page, and nothing is
 deleted as shared.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.llm.batches import map_batches
-from tarnwick.llm.html_lines import APART, ARTICLE, NEUTRAL, lines, longest_common
+from tarnwick.llm.html_lines import APART, CONTAINER, NEUTRAL, lines, longest_common
 from tarnwick.session import materialise, table
 
 #: Share of common lines from which two pages are copies.
@@ -99,7 +99,7 @@ def _shared(ranked: DataFrame) -> DataFrame:
         keys, drops = [], []
         for of, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = next((x for x in near if x["rank"] == of), None)
-            if page is None or page["place"] == ARTICLE:
+            if page is None or page["place"] >= CONTAINER:
                 continue
             others = [x for x in near if x["rank"] != of and x["host"] == page["host"]]
             if not others:

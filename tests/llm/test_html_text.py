@@ -24,6 +24,8 @@ def test_cut_off_and_empty():
     assert text_of(None) == text_of("") == text_of("<nav>x</nav>") == ""
     assert text_of("plain words\n only") == "plain words only"
     assert text_of("<div class=ad>x<article><p>kept</p></article>") == "kept"
+    assert text_of('<div class="page has-sidebar no-ads"><p>kept</p><div class="left-sidebar">gone</div></div>') == "kept"
+    assert text_of('<div id="x"><div class="post-content"><p>in</p></div>out</div>') == "in"
     assert lines("<article>a<main>b</main></article>")[1][0] == ARTICLE
 
 
@@ -55,13 +57,14 @@ def test_differencing(spark):
         (6, "http://c.example.org/p#x", page("Same", "copy")),
         (7, "http://d.example.org/1", "<article><p>Quoted</p><p>d1</p></article>"),
         (8, "http://d.example.org/2", "<article><p>Quoted</p><p>d2</p></article>"),
+        (12, "http://d.example.org/3", "<main><p>Quoted</p><p>d3</p></main>"),
         (9, None, page("no url")),
         (10, "not an url", page("odd")),
         (11, "http://e.example.org/", None),
         (1, "http://a.example.org/x/1", page("Home", "Unique one", "More one", "More than one", "Imprint")),
         (None, "http://f.example.org/", "<p>" + "long " * 50_000),
     ]
-    want = {1: "Unique one\nMore one\nMore than one", 2: "Unique two\nMore two\nMore than two", 3: "Unique three\nThird", 4: "Home\nAlone", 5: "Same\ncopy", 6: "Same\ncopy", 7: "Quoted\nd1", 8: "Quoted\nd2", 9: "no url", 10: "odd", 11: "", None: " ".join(["long"] * 50_000)}
+    want = {1: "Unique one\nMore one\nMore than one", 2: "Unique two\nMore two\nMore than two", 3: "Unique three\nThird", 4: "Home\nAlone", 5: "Same\ncopy", 6: "Same\ncopy", 7: "Quoted\nd1", 8: "Quoted\nd2", 12: "Quoted\nd3", 9: "no url", 10: "odd", 11: "", None: " ".join(["long"] * 50_000)}
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, key int, text string")
     found = html_text.main_text(frame.repartition(3)).collect()
     assert len(found) == len(rows)
