@@ -20,18 +20,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u != v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # the join alone stands behind its exchanges, so Spark may split a busy node's rows
-        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), "stars").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        # each minimum is a written table, so both sides of the join behind it are plain exchanges
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = materialise(large.distinct(), "stars")
+        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         e = materialise(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
+        # done when every node has one parent and no parent has one itself
+        n, different = e.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == different and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = state
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
