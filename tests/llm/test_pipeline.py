@@ -41,3 +41,10 @@ def test_stages_against_brute_force(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, mixed.collect())) == sorted(map(str, whole))
     assert len({r.source for r in whole}) == 3 and all(1 <= r.mix_copies <= mixing.MAX_REPETITION + 1 for r in whole)
+
+
+def test_empty_tables_stay_empty(spark, tmp_path):
+    write(spark, f"{tmp_path}/full")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
