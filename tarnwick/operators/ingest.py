@@ -151,3 +151,23 @@ def spans(df: DataFrame, text: str, needle: str) -> DataFrame:
     out = out.withColumn("end", F.col("start") + F.length(needle))
     side = lambda at: F.when(at < 1, F.lit(" ")).otherwise(F.substring(low, at, F.lit(1)))
     return out.filter(~side(F.col("start")).rlike("[a-z0-9]") & ~side(F.col("end") + 1).rlike("[a-z0-9]"))
+
+
+def from_evidence(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions, occurrences) of (article, entity, nature, text, start, end) rows: one mention for an article and entity, whose nature
+    is that of its first span; its different spans in order."""
+    spans_ = evidence.groupBy("article", "entity", "start", "end").agg(F.min("text").alias("text"), F.min("nature").alias("nature"))
+    first = F.min(F.struct("start", "end", "nature"))
+    mentions = spans_.groupBy("article", "entity").agg(first["nature"].alias("nature"), F.count("*").alias("occurrences"))
+    place = F.row_number().over(Window.partitionBy("article", "entity").orderBy("start", "end"))
+    return mentions, spans_.select("article", "entity", place.alias("place"), "start", "end", "text")
+
+
+def cached(queries: DataFrame, labels: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """`queries` (query, name, fingerprint) with `found` and `tier`: label, if exactly one canonical bears the name or has it as alias
+    (`labels`: norm, canonical); else cache, if its entry (fingerprint, result, expires_at) is still good; else miss."""
+    alone = labels.groupBy("norm").agg(F.min("canonical").alias("__c"), F.count_distinct("canonical").alias("__n")).filter("__n = 1").drop("__n")
+    fresh = cache.filter(F.col("expires_at") > now).groupBy("fingerprint").agg(F.max_by("result", "expires_at").alias("__r"))
+    j = queries.join(alone, F.col("name") == F.col("norm"), "left").join(fresh, "fingerprint", "left")
+    tier = F.when(F.col("__c").isNotNull(), "label").when(F.col("__r").isNotNull(), "cache").otherwise("miss")
+    return j.select("query", F.coalesce(F.col("__c").cast("string"), F.col("__r").cast("string")).alias("found"), tier.alias("tier"))

@@ -180,3 +180,32 @@ def context_snippet(spark, sf_dir):
 def typed_coercion(spark, sf_dir):
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "case p_partkey % 5 when 0 then ' 1,' || lpad(cast(p_size as string), 3, '0') || '.5 ' when 1 then 'Yes' when 2 then '2024-02-' || (10 + p_size % 30) when 3 then p_name else ' ' end as v")
     return rows.select("p_partkey", text.coerce("v", "number").alias("n"), text.coerce("v", "boolean").alias("b"), text.coerce("v", "date").cast("string").alias("d"), text.coerce("v", "text").alias("t"))
+
+
+_EVIDENCE = "e as (select l_orderkey % 300 as article, l_suppkey as entity, l_returnflag as nature, l_shipmode as text, cast(l_quantity as integer) as s, cast(l_quantity as integer) + l_linenumber as e from (select *, l_linestatus as l_shipmode from lineitem))"
+
+
+def _evidence(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 300 as article", "l_suppkey as entity", "l_returnflag as nature", "l_linestatus as text", "cast(l_quantity as int) as start", "cast(l_quantity as int) + l_linenumber as end")
+
+
+@query(f"with {_EVIDENCE}, g as (select article, entity, s, e, min(nature) as nature from e group by all), r as (select *, row_number() over (partition by article, entity order by s, e) as n, count(*) over (partition by article, entity) as c from g) select article, entity, nature, cast(c as bigint) as occurrences from r where n = 1")
+def mention_upsert(spark, sf_dir):
+    return i.from_evidence(_evidence(spark, sf_dir))[0]
+
+
+@query(f"with {_EVIDENCE}, g as (select article, entity, s, e, min(text) as text from e group by all) select article, entity, cast(row_number() over (partition by article, entity order by s, e) as integer) as place, s as start, e as \"end\", text from g")
+def occurrence_upsert(spark, sf_dir):
+    return i.from_evidence(_evidence(spark, sf_dir))[1]
+
+
+@query(
+    "with q as (select c_custkey as query, 'n' || (c_custkey % 60) as name, md5('q' || (c_custkey % 90)) as fp from customer), l as (select 'n' || (s_suppkey % 80) as norm, s_suppkey // 2 as canonical from supplier), a as (select norm, min(canonical) as c from l group by 1 having count(distinct canonical) = 1),"
+    " k as (select md5('q' || n_nationkey) as fp, n_name as result, case when n_nationkey % 3 > 0 then timestamp '2024-02-01' else timestamp '2024-01-01' end as x from nation)"
+    " select query, coalesce(cast(c as varchar), result) as found, case when c is not null then 'label' when result is not null then 'cache' else 'miss' end as tier from q left join a on name = norm left join (select * from k where x > timestamp '2024-01-15') k on k.fp = q.fp"
+)
+def geocode_cache(spark, sf_dir):
+    q = table(spark, sf_dir, "customer").selectExpr("c_custkey as query", "concat('n', c_custkey % 60) as name", "md5(concat('q', c_custkey % 90)) as fingerprint")
+    labels = table(spark, sf_dir, "supplier").selectExpr("concat('n', s_suppkey % 80) as norm", "s_suppkey div 2 as canonical")
+    cache = table(spark, sf_dir, "nation").selectExpr("md5(concat('q', n_nationkey)) as fingerprint", "n_name as result", "case when n_nationkey % 3 > 0 then timestamp '2024-02-01' else timestamp '2024-01-01' end as expires_at")
+    return i.cached(q, labels, cache, F.to_timestamp(F.lit("2024-01-15")))

@@ -128,3 +128,15 @@ def five_way_join(spark, sf_dir):
 @query(f"with {_ARMS}, seen as (select distinct article, kind, entity from arms where active) select a.entity as a, b.entity as b, cast(count(*) as bigint) as stories from seen a join seen b using (article) where a.kind = 'customer' and b.kind = 'supplier' group by 1, 2 having count(*) >= 3")
 def comention_pairs(spark, sf_dir):
     return m.co_mentions(mentions(spark, sf_dir), "customer", "supplier", 3)
+
+
+@query(f"with {_ARMS} select cast(count(*) as bigint) as embedded from (select distinct kind, entity from arms where active and nature <> 'N')")
+def distinct_union(spark, sf_dir):
+    """Ids of different kinds are different, though they may be equal."""
+    rows = mentions(spark, sf_dir).filter("active and nature != 'N'").select("kind", "entity").distinct()
+    return rows.agg(F.count("*").alias("embedded"))
+
+
+@query(f"with {_ARMS} select kind, nature, cast(count(*) as bigint) as mentions, cast(count(distinct entity) as bigint) as entities from arms where active group by 1, 2")
+def evidence_counts(spark, sf_dir):
+    return mentions(spark, sf_dir).filter("active").groupBy("kind", "nature").agg(F.count("*").alias("mentions"), F.count_distinct("entity").alias("entities"))

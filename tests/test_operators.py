@@ -151,3 +151,10 @@ def test_deliveries(spark):
     waits = [one(spark, o.backoff(F.col("a"), F.lit("k")), a=k) for k in (1, 2, 9)]
     assert 24 <= waits[0] <= 36 and waits[1] == pytest.approx(2 * waits[0]) and 2880 <= waits[2] <= 4320
     assert one(spark, o.backoff(F.col("a"), F.lit("k"), F.lit(5000)), a=1) == 5000
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from tarnwick.session import clear_scratch, materialise
+
+    kept = materialise(spark.range(3), "x")
+    assert kept.count() == 3 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
