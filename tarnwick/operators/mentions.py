@@ -30,11 +30,13 @@ def timeline(mentions: DataFrame, date: str) -> DataFrame:
 
 def hub(articles: DataFrame, mentions: DataFrame, kinds: list[str]) -> DataFrame:
     """For each article the active mentions and different entities of each kind, zeros included."""
+    # a row for each article, kind and entity first: then plain sums do, where several distinct counts would multiply the rows
+    each = mentions.filter("active").groupBy("article", "kind", "entity").agg(F.count("*").alias("n"))
     sums = []
     for k in kinds:
-        mine = F.col("active") & (F.col("kind") == k)
-        sums += [F.count(F.when(mine, 1)).alias(f"{k}_mentions"), F.count_distinct(F.when(mine, F.col("entity"))).alias(f"{k}_entities")]
-    found = mentions.groupBy("article").agg(*sums)
+        mine = F.col("kind") == k
+        sums += [F.sum(F.when(mine, F.col("n")).otherwise(0)).alias(f"{k}_mentions"), F.count(F.when(mine, F.col("entity"))).alias(f"{k}_entities")]
+    found = each.groupBy("article").agg(*sums)
     columns = [c for k in kinds for c in (f"{k}_mentions", f"{k}_entities")]
     return articles.join(found, "article", "left").fillna(0, columns)
 
