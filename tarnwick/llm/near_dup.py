@@ -166,11 +166,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return grouped(materialise(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "prints"), bits)
 
 
+def kept(docs: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """`docs` with the document of the smallest id of each component in `rows`; columns unchanged."""
+    ids = rows.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    one = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """`docs` with one document of each group of near copies, that of the smallest id; columns unchanged."""
-    kept = near_duplicates(docs, id_col=id_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    return kept(docs, near_duplicates(docs, id_col=id_col, **options), id_col)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
