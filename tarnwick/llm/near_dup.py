@@ -14,7 +14,8 @@ is equal.
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is
 linked like any other; a text of fewer words than a shingle is one shingle. Rows that share
 a doc_id are rows of their own in the fingerprints. A null id never names a component.
-`keep_one` keeps rows with a null id and one row for each id that stays.
+`keep_one` keeps rows with a null id and one row of each group, known by its id and text: other texts of
+the same id are documents of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm.batches import lower_words, map_batches, texts
@@ -52,15 +53,22 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): a signed 64-bit fingerprint for each row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def mark(text_col: str) -> Column:
+    """A hash of the text as it stands, which tells rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, marked: bool = False) -> DataFrame:
+    """(doc_id, fp): a signed 64-bit fingerprint for each row; where `marked`, (doc_id, mark, fp)."""
+    own = [F.col(id_col).cast("long").alias("doc_id"), *([mark(text_col).alias("mark")] if marked else [])]
+    docs = docs.select(*own, F.col(text_col).cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t, words) for t in texts(batch, "text")], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        names = batch.schema.names[:-1]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(found)], [*names, "fp"])
 
-    return map_batches(docs, run, "doc_id long, fp long")
+    return map_batches(docs, run, f"doc_id long, {'mark long, ' if marked else ''}fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -152,30 +160,38 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def grouped(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of (doc_id, fp): the smallest doc_id reachable over links."""
+    """The rows of (doc_id, fp, ...) with component_id, the smallest doc_id reachable over links, and root, which names the component."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     found = components(links(distinct.select("fp"), bits)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(smallest, "root").select("fp", "component_id")
+    of = rooted.join(smallest, "root").select("fp", "component_id", "root")
     return prints.join(of, "fp")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of `docs`; other columns are not read."""
-    return grouped(materialise(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "prints"), bits)
+    return grouped(materialise(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "prints"), bits).select("doc_id", "fp", "component_id")
 
 
-def kept(docs: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
-    """`docs` with the document of the smallest id of each component in `rows`; columns unchanged."""
-    ids = rows.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col])
+def kept(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with one row for each root in `rows`, which has (doc_id, mark, component_id, root); columns unchanged.
+
+    A row is known by its id and the mark of its text: ids may clash. Of a component the smallest id stays, of its
+    texts that of the smallest mark, and of rows that share both the first in the order of their JSON.
+    """
+    sized = rows.filter("doc_id = component_id").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    best = sized.groupBy("root").agg(F.min(F.struct("doc_id", "mark", "n")).alias("best")).select("best.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), mark(text_col).alias("mark"))
+    order = F.when(F.col("n") > 1, F.to_json("row")).otherwise("")
+    one = packed.join(best, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.min_by("row", order).alias("row")).select("row.*")
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs` with one document of each group of near copies, that of the smallest id; columns unchanged."""
-    return kept(docs, near_duplicates(docs, id_col=id_col, **options), id_col)
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """`docs` with one row of each group of near copies, that of the smallest id; columns unchanged."""
+    prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, marked=True), "prints")
+    return kept(docs, grouped(prints, bits), id_col, text_col)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
