@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tarnwick.llm import topk
@@ -45,3 +46,24 @@ def test_blocks_of_queries(spark, monkeypatch):
 def test_empty(spark):
     v = topk.vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, v, 3).count() == 0
+
+
+def test_few_entries_are_completed():
+    """A part that reaches half of the cutoff is rare; no entry that reaches the cutoff is missed."""
+    rng = np.random.default_rng(5)
+    c = np.floor(64 * (v := rng.normal(size=(20_000, 64))) / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    q = c[:200]
+    parts = [q[:, :32] @ c[:, :32].T, q[:, 32:] @ c[:, 32:].T]
+    whole = q @ c.T
+    cutoff = -np.sort(-whole, axis=1)[:, 19]
+    rows, cols, score = topk._read(parts, cutoff)
+    assert len(rows) < 0.05 * whole.size and (score == whole[rows, cols]).all()
+    assert (score >= cutoff[rows]).sum() == (whole >= cutoff[:, None]).sum()
+
+
+def test_repeated_ids(spark):
+    """A repeated id is a candidate per row, and a query once, with its smallest vector."""
+    rows = [(0, [1.0, 1.0]), (0, [2.0, -1.0]), (1, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [0.5, 0.5])]
+    v = topk.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(v, v.filter("vec_id = 0"), 3).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 3 * 64 * 64), (0, 2, 1, 64 * 64), (0, 3, 2, 64 * 64)]
