@@ -5,7 +5,7 @@ from tarnwick.llm.html_lines import ARTICLE, lines, longest_common
 
 
 def text_of(page):
-    return "\n".join(html_text._wanted(lines(page))[1])
+    return "\n".join(html_text._chosen(lines(page), set())[0])
 
 
 def test_marks_of_a_page():
@@ -70,3 +70,40 @@ def test_differencing(spark):
     assert len(found) == len(rows)
     assert {r.page_id: r.text for r in found} == want
     assert html_text.main_text(frame.limit(0)).count() == 0
+
+
+def test_articles_under_a_common_menu_are_no_copies(spark):
+    """Ten common lines and two of their own: the menu goes from all, copies keep their article."""
+    menu = [f"Entry {i}" for i in range(10)]
+    rows = [(i, f"http://a.org/{i:02d}", page(*menu, f"Headline {i}", f"Story {i}")) for i in range(6)]
+    rows += [(7, "http://a.org/05b", page(*menu, "Headline 5", "Story 5", "Seen twice"))]
+    found = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.text for i, r in found.items()} == {i: f"Headline {i}\nStory {i}" for i in range(6)} | {7: "Headline 5\nStory 5\nSeen twice"}
+    assert all(r.n_shared == 10 and r.n_marked == 0 for r in found.values())
+
+
+def test_a_line_of_most_articles_is_the_template(spark):
+    """Inside articles a line goes that more than half of the host's pages hold; a passage that two neighbours quote stays."""
+    quoted = {12, 13}
+    rows = [(i, f"http://a.org/{i}", f"<nav>menu {i}</nav><article><p>Read more on our site</p><p>a{i}</p>{'<p>Quoted</p>' if i in quoted else ''}</article>") for i in range(10, 22)]
+    found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: f"a{i}" + ("\nQuoted" if i in quoted else "") for i in range(10, 22)}
+    assert all(r.n_shared == 1 and r.n_marked == 1 for r in found)
+
+
+def test_whole_query_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        host = f"h{rng.randrange(5) if i % 3 else 0}.org"
+        menu = [f"m{j} of {host}" for j in range(6) if rng.random() < 0.9]
+        body = [rng.choice([f"line {rng.randrange(12)}", f"own {i} {j}", "everywhere"]) for j in range(rng.randrange(6))]
+        blocks = "".join(f"<p>{x}</p>" for x in body)
+        html = [page(*menu, *body), f"<nav>{'<p>'.join(menu)}</nav><article>{blocks}</article><footer>f {i}</footer>", f"<div class=content>{blocks}</div>" + page(*menu)][rng.randrange(3)]
+        rows.append((i, f"https://{host}/{rng.choice('abc')}/{i}", html if i % 40 else None))
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(5)]
+    want = html_text.brute_force([(u, h) for _, u, h in rows])
+    for parts in (1, 5):
+        got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()
+        assert {r.page_id: r.text for r in got} == {i: want[u, h] for i, u, h in rows}
+        assert sum(r.n_shared for r in got) > 300
