@@ -1,3 +1,4 @@
+import random
 import re
 
 from tarnwick.llm import licenses as x
@@ -21,8 +22,12 @@ DOCS = [
 ]
 
 
+def cut(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 def base(text):
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    words = cut(text)
     at, labels = [], set()
     for label, phrase in x.PHRASES:
         p = phrase.split()
@@ -47,3 +52,56 @@ def test_places_match_brute_force(spark):
 
 def test_empty(spark):
     assert x.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def verified(text):
+    """(labels, score) by comparing every run of every template with every place."""
+    words, best, labels = cut(text), {}, set(filter(None, base(text)[4].split(",")))
+    for label, template in x.TEMPLATES:
+        t = cut(template)
+        runs = len(t) - x.K + 1
+        votes = sorted((i - j, j) for i in range(len(words) - x.K + 1) for j in range(runs) if words[i : i + x.K] == t[j : j + x.K])
+        groups: list[list] = []
+        for v in votes:
+            if groups and v[0] - groups[-1][-1][0] <= x.NEAR:
+                groups[-1].append(v)
+            else:
+                groups.append([v])
+        for g in groups:
+            sizes = {d: sum(v[0] == d for v in g) for d, _ in g}
+            main = min(sizes, key=lambda d: (-sizes[d], d))
+            n = 0
+            before = -1
+            for j in range(runs):
+                near = [(abs(d - main), d) for d, k in g if k == j and abs(d - main) <= x.NEAR + x.DRIFT * runs]
+                if near:
+                    at = min(near)[1] + j
+                    n += at > before
+                    before = at
+            best[label] = max(best.get(label, 0), n / runs)
+    labels |= {k for k, v in best.items() if v >= x.COPY}
+    return ",".join(sorted(labels)), round(max([*best.values(), 1.0 if base(text)[1] else 0.0]), 6)
+
+
+def test_labels_and_score_against_brute_force(spark):
+    rng = random.Random(6)
+    docs = [t for _, t in DOCS] + ["spdx license identifier spdx license identifier", "spdx license identifier " * 40, "license identifier mit spdx license identifier"]
+    for _, template in x.TEMPLATES:
+        words = template.split()
+        for noise in (0.02, 0.1, 0.3):
+            edited = [w for w in words if rng.random() > noise / 2]
+            edited = [y for w in edited for y in ([w, "inserted"] if rng.random() < noise / 2 else [w])]
+            docs.append("before " + " ".join(edited) + " behind")
+        half = len(words) // 2
+        docs += [" ".join(words[half:] + words[:half]), " ".join(words[: len(words) // 3] * 4), " ".join(words + words[::-1])]
+    rows = list(enumerate(docs))
+    found = {r.doc_id: (r.labels, r.score) for r in x.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {i: verified(t) for i, t in rows}
+    assert all(found[i][0] == "" for i, t in rows if (t or "").startswith("spdx license identifier"))
+    assert sum(a == "mit" for a, _ in found.values()) >= 4
+
+
+def test_whole_texts_are_found(spark):
+    rows = [(i, "x y z " * 50 + t + " end of it") for i, (_, t) in enumerate(x.TEMPLATES)]
+    found = {r.doc_id: (r.labels, r.score) for r in x.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(x.TEMPLATES[i][0] in found[i][0].split(",") and found[i][1] == 1.0 for i in found)
