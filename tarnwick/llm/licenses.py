@@ -224,7 +224,7 @@ with t as (
 ), q as (
   select r, template, label, phrase, runs, part, tpos, sum(whole::int) as places, min(diagonal) filter (whole) as f, max(diagonal) filter (whole) as l,
     arg_min(diagonal, (off, diagonal)) filter (off <= {NEAR} + {DRIFT} * runs) + tpos as place
-  from o group by all
+  from o group by r, template, label, phrase, runs, part, tpos
 ), w as (
   select *, last_value(place ignore nulls) over (partition by r, template, part order by tpos rows between unbounded preceding and 1 preceding) as before from q
 ), s as (
