@@ -7,8 +7,9 @@ that ends some pattern stops it. A bucket chosen by that suffix block and by the
 word then names the few patterns that are compared word by word.
 
 The benchmark is cut into shards of at most `SHARD_WINDOWS` windows, and each shard is
-one broadcast table of bounded size: documents pass through one search after another
-in a single narrow stage, whatever the size of the benchmark. Nothing is shuffled.
+one broadcast table of bounded size, built one after another. Documents pass through one narrow
+step; where there are several shards it gathers texts of `BUFFER` bytes and takes the shards in turn, so
+a task holds one table at a time. Nothing is shuffled.
 
 Defined cases: a null or empty text has no words and no hits; items without words and
 items with a null id take no part; repeated items count once; repeated or null document
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick.llm.batches import alnum_words, map_batches, texts
-from tarnwick.session import table
+from tarnwick.session import materialise, table
 
 #: The most windows in one broadcast table.
 SHARD_WINDOWS = 200_000
+#: Bytes of text that a task holds while it takes several shards in turn.
+BUFFER = 1 << 25
 #: Words that start windows in one piece of an item.
 PIECE = 2_000
 
@@ -101,6 +104,7 @@ def pattern_tables(benchmark: DataFrame, item_col: str = "item_id", text_col: st
     shard = lambda k: F.pmod(F.xxhash64("item", "start"), F.lit(k))
     while shards > 1 and (pieces.groupBy(shard(shards)).agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0) > SHARD_WINDOWS:
         shards *= 2
+    pieces = materialise(pieces, "pieces") if shards > 1 else pieces
     return [
         spark.sparkContext.broadcast(searches([(r.item, r.words.encode().split()) for r in pieces.filter(shard(shards) == k).collect()], n))
         for k in range(shards)
@@ -137,28 +141,45 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     Without `keep_text` the texts end in the last search instead of going back to the JVM.
     """
     docs = docs.drop(into) if into in docs.columns else docs
-    out = docs
     tables = pattern_tables(benchmark, item_col, item_text, n)
     field = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
     spark_field = "struct<n_words:bigint,n_hit:bigint,starts:array<int>,ends:array<int>,items:array<string>>"
-    for k, shared in enumerate(tables):
-        drop = {into} if keep_text or k < len(tables) - 1 else {into, text_col}
-        schema = T.StructType([*(f for f in docs.schema.fields if f.name not in drop), T.StructField(into, T._parse_datatype_string(spark_field))])
-
-        def run(batch: pa.RecordBatch, shared: Broadcast = shared, drop: set[str] = drop) -> pa.RecordBatch:
-            at = batch.schema.get_field_index(into)
-            before = batch.column(at).to_pylist() if at >= 0 else [None] * batch.num_rows
-            found = []
-            for text, old in zip(texts(batch, text_col), before, strict=True):
-                words = alnum_words(text)
-                starts, ends, items = (old["starts"], old["ends"], set(old["items"])) if old else ([], [], set())
-                _find(words, shared.value, starts, ends, items)
-                found.append({"n_words": len(words), "n_hit": _covered(starts, ends), "starts": starts, "ends": ends, "items": sorted(items)})
-            names = [f for f in batch.schema.names if f not in drop]
-            return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f)) for f in names), pa.array(found, field)], [*names, into])
-
-        out = map_batches(out, run, schema)
-    return out
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batches in _gathered(it, text_col, BUFFER if len(tables) > 1 else 0):
+            found = [([], [], set(), [0]) for batch in batches for _ in range(batch.num_rows)]
+            for shared in tables:
+                search, at = shared.value, iter(found)
+                for batch in batches:
+                    for text in texts(batch, text_col):
+                        words = alnum_words(text)
+                        starts, ends, items, size = next(at)
+                        size[0] = len(words)
+                        _find(words, search, starts, ends, items)
+                if len(tables) > 1:  # the next table takes the place of this one
+                    search = vars(shared).pop("_value", None)
+            rows = [{"n_words": size[0], "n_hit": _covered(starts, ends), "starts": starts, "ends": ends, "items": sorted(items)} for starts, ends, items, size in found]
+            for batch in batches:
+                own, rows = rows[: batch.num_rows], rows[batch.num_rows :]
+                columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own, field)], [*(f.name for f in kept), into])
+
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(into, T._parse_datatype_string(spark_field))]))
+
+
+def _gathered(it: Iterator[pa.RecordBatch], text_col: str, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches with at least `size` bytes of text."""
+    held, have = [], 0
+    for batch in it:
+        if batch.num_rows:
+            held.append(batch)
+            have += batch.column(batch.schema.get_field_index(text_col)).nbytes
+            if have >= size:
+                yield held
+                held, have = [], 0
+    if held:
+        yield held
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

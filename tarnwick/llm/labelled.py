@@ -34,8 +34,12 @@ def sample(rows: DataFrame, per_class: int) -> DataFrame:
 
 
 def with_texts(picked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, y, draw, text) of sampled documents; the sample has a proven bound, so it is the side to broadcast."""
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    """(doc_id, y, draw, text) of sampled documents, one row each: the smallest text where rows share an id.
+
+    The sample has a proven bound, so it is the side to broadcast.
+    """
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "y", "draw").agg(F.min("text").alias("text"))
 
 
 def fit_logistic(x, y, weight, l2: float = 1e-3, steps: int = 50):

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tarnwick.llm import labelled
 from tarnwick.llm.batches import map_batches, texts
-from tarnwick.session import table
+from tarnwick.session import materialise, table
 
 PER_CLASS = 3_000
 PIECE = 2_048
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus
     if len(share) < 2:
         only = next(iter(share), None)
         return Model(b" ", b" ", [0.0, 0.0, 0.0, 0.0 if only is None else 40.0 * (2 * only - 1)])
-    sampled = labelled.with_texts(labelled.sample(rows, per_class), docs)
+    sampled = materialise(labelled.with_texts(labelled.sample(rows, per_class), docs), "sample")
     pieces = _pieces(sampled.filter("draw < 0.5"))
     chosen = [[bytes(r.piece) for r in pieces.filter(F.col("y") == y).orderBy("rank", "at").limit(PIECES).collect()] for y in (0, 1)]
     model = Model(*map(_dictionary, chosen), [0.0] * 4)

@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes ratios.
 
-Features are the distinct byte n-grams (lengths `SIZES`) of a text with A-Z lowered and
-white space made one space, hashed into `2 ** BITS` buckets per length. A feature counts
+Features are the distinct character n-grams (lengths `SIZES`, in code points) of a text with A-Z lowered
+and white space made one space, hashed into `2 ** BITS` buckets per length. A feature counts
 by its presence, scaled by the log of the ratio of its shares among toxic and other
 documents; a ridge logistic regression on the scaled features gives the weights. Only
 the `FEATURES` buckets whose ratio is most significant take part, so a long clean text
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tarnwick.llm import labelled
 from tarnwick.llm.batches import map_batches, texts
-from tarnwick.session import table
+from tarnwick.session import materialise, table
 
 PER_CLASS = 4_000
 SIZES = (4, 6)
@@ -38,28 +38,36 @@ LEAST_Z = 3.5
 L2 = 2.0
 THRESHOLD = 0.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes hashed at a time; pieces of a long text overlap, so no n-gram is lost.
-CHUNK = 1 << 20
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Characters hashed at a time; pieces of a long text overlap, so no n-gram is lost.
+CHUNK = 1 << 18
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Hashed n-grams of a text, repeats included, in pieces of bounded size."""
-    data = b" " + b" ".join(text.lower().split()) + b" "
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+def characters(text: bytes) -> np.ndarray:
+    """Code points of a text: A-Z lowered, white space made one space, one space before and behind."""
+    whole = b" " + b" ".join(text.lower().split()) + b" "
+    return np.frombuffer(whole.decode(errors="replace").encode("utf-32-le"), np.uint32)
+
+
+def grams(points: np.ndarray) -> np.ndarray:
+    """Hashed n-grams of a run of characters, repeats included."""
+    c = points.astype(np.uint64) + np.uint64(1)
     out = []
-    packed, size = b, 1
+    rolled, size = c, 1
     for k, n in enumerate(SIZES):
         while size < n:
-            packed = (packed[:-1] << np.uint64(8)) | b[size:] if len(packed) > 1 else packed[:0]
+            rolled = rolled[:-1] * _BASE + c[size:] if len(rolled) > 1 else rolled[:0]
             size += 1
-        out.append((((packed * _MIX) >> np.uint64(64 - BITS)) + np.uint64(k << BITS)).astype(np.int32))
+        h = (rolled ^ (rolled >> np.uint64(32))) * _MIX
+        out.append(((h >> np.uint64(64 - BITS)) + np.uint64(k << BITS)).astype(np.int32))
     return np.concatenate(out)
 
 
 def _parts(text: bytes):
+    points = characters(text)
     step = CHUNK - max(SIZES)
-    for i in range(0, max(1, len(text)), step):
-        yield grams(text[i : i + CHUNK])
+    for i in range(0, len(points), step):
+        yield grams(points[i : i + CHUNK])
 
 
 def distinct(text: bytes, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -99,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", modulus:
         only = next(iter(share), None)
         return Model(np.zeros(size), 0.0 if only is None else 40.0 * (2 * only - 1))
     picked = labelled.sample(rows, per_class)
-    sampled = labelled.with_texts(picked, docs).filter("text != ''")
+    sampled = materialise(labelled.with_texts(picked, docs).filter("text != ''"), "sample")
     n = labelled.counts(picked)
     p, q = F.col("toxic") / n[1], F.col("other") / n[0]
     pooled = (F.col("toxic") + F.col("other")) / (n[0] + n[1])

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from tarnwick.llm import quality, toxicity
+from tarnwick.llm import labelled, quality, toxicity
 
 WORDS = "river stone market garden window letter morning paper winter station engine bridge mirror basket candle".split()
 
@@ -73,3 +73,23 @@ def test_grams_of_long_texts_lose_nothing(monkeypatch):
     whole = set(toxicity.distinct(text).tolist())
     monkeypatch.setattr(toxicity, "CHUNK", 500)
     assert whole <= set(toxicity.distinct(text).tolist())
+
+
+def test_grams_are_of_characters():
+    """Accented and wide characters count as one each, and a long text in pieces has the grams of the whole."""
+    import numpy as np
+
+    text = "Ünïcödé 漢字かな交じり文"
+    points = toxicity.characters(text.encode())
+    assert len(points) == len(text) + 2 and chr(points[1]) == "Ü"
+    assert len(toxicity.grams(points)) == sum(len(points) - n + 1 for n in toxicity.SIZES)
+    long = ("käse " * 70_000 + "ende").encode()
+    whole = np.unique(toxicity.grams(toxicity.characters(long)))
+    assert (toxicity.distinct(long) == whole).all() and len(toxicity.characters(long)) > toxicity.CHUNK
+
+
+def test_repeated_ids_count_once_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")], "doc_id long, text string")
+    picked = spark.createDataFrame([(1, 0, 0.1), (2, 1, 0.2)], "doc_id long, y int, draw double")
+    rows = labelled.with_texts(picked, docs).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, ""), (2, "c")]
