@@ -28,6 +28,17 @@ class BitRank:
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[at] + np.bitwise_count(self.words[at] & mask)
 
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """Where the one numbered k (from 0) is: its word by the counts, its bit by halving the word."""
+        at = np.searchsorted(self.before, k, side="right") - 1
+        word, rest, bit = self.words[at], k - self.before[at], np.zeros(len(k), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            mask = np.uint64((1 << width) - 1)
+            low = np.bitwise_count((word >> bit.astype(np.uint64)) & mask)
+            above = rest >= low
+            rest, bit = rest - low * above, bit + width * above
+        return at * 64 + bit
+
 
 class WaveletMatrix:
     """rank of any symbol in any prefix of a sequence, one bit of the symbol a level."""
@@ -50,11 +61,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of word sequences for matches of up to `reach` words.
+    """Index of word sequences for matches of up to `reach` words; symbol 0 ends each sequence.
 
-    Suffixes are ordered by their first `reach` words only, equal ones by position; a
-    search for so many words or fewer is exact, and the first suffix of a match is the
-    earliest in the text. Symbol 0 ends each sequence.
+    Suffixes are ordered by their first `reach` words only, equal ones by position, so a search for so many words or
+    fewer is exact. What stays is the transform in a wavelet matrix and two rows of bits: where the suffixes that
+    agree in reach - 1 words begin, and which positions of the text repeat `reach` words that stand earlier.
+    The suffixes themselves are given up.
     """
 
     def __init__(self, text: np.ndarray, size: int, reach: int) -> None:
@@ -65,15 +77,13 @@ class FMIndex:
             rank, have = _ranks(rank, shifted(rank, have)), have * 2
         for length in (reach - 1, reach):
             held[length] = rank if length == have else _ranks(rank, shifted(rank, length - have)) if length > have else None
-        self.suffixes = np.argsort(held[reach], kind="stable")
-        short = held[reach - 1][self.suffixes]
-        # where the suffixes that agree in reach - 1 words begin and end
-        first = np.concatenate([[True], short[1:] != short[:-1]])
-        starts = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        self.short_start = starts[group]
-        self.short_end = np.concatenate([starts[1:], [n]])[group]
-        self.tree = WaveletMatrix(text[self.suffixes - 1], size)
+        suffixes = np.argsort(held[reach], kind="stable")
+        new = lambda ranks: np.concatenate([[True], ranks[suffixes][1:] != ranks[suffixes][:-1]])
+        self.begins = BitRank(np.concatenate([new(held[reach - 1]), [True]]).astype(np.uint8))
+        later = np.empty(n, np.uint8)
+        later[suffixes] = ~new(held[reach])
+        self.later = np.packbits(later, bitorder="little")
+        self.tree = WaveletMatrix(text[suffixes - 1], size)
         counts = np.bincount(text, minlength=size)
         every = np.arange(size)
         self.offset = np.concatenate([[0], np.cumsum(counts)[:-1]]) - self.tree.down(every, np.zeros(size, np.int64))
@@ -85,12 +95,18 @@ class FMIndex:
         return down[: len(symbol)], down[len(symbol) :]
 
     def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The last word of matches of `reach` words given up."""
-        return self.short_start[low], self.short_end[low]
+        """The last word of matches of `reach` words given up: all suffixes that agree in the others."""
+        group = self.begins.ones(low + 1)
+        ends = self.begins.place(np.concatenate([group - 1, group]))
+        return ends[: len(low)], ends[len(low) :]
+
+    def stands_earlier(self, position: np.ndarray) -> np.ndarray:
+        """Whether the `reach` words at a position of the text stand at an earlier one too."""
+        return (self.later[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
 
 
 def matching_statistics(index: FMIndex, text: np.ndarray, starts: np.ndarray, windows: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window position, earliest match, number of matches) for each window of `reach` words of the indexed sequences.
+    """(window position, number of matches, whether one is earlier) for each window of `reach` words of the indexed sequences.
 
     All sequences are searched side by side, from their last window to their first. A sequence is
     part of the index, so its matching statistics never fall below `reach`: each step gives up the
@@ -100,14 +116,14 @@ def matching_statistics(index: FMIndex, text: np.ndarray, starts: np.ndarray, wi
     low, high = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
     for k in range(reach - 1, -1, -1):
         low, high = index.extend(text[at + k], low, high)
-    places, earliest, sizes = [], [], []
+    places, sizes = [], []
     while True:
         places.append(at)
-        earliest.append(index.suffixes[low])
         sizes.append(high - low)
         more = at > starts
         if not more.any():
             break
         at, starts, low = at[more] - 1, starts[more], low[more]
         low, high = index.extend(text[at], *index.shorten(low))
-    return np.concatenate(places), np.concatenate(earliest), np.concatenate(sizes)
+    at, sizes = np.concatenate(places), np.concatenate(sizes)
+    return at, sizes, (sizes > 1) & index.stands_earlier(at)

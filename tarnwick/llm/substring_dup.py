@@ -5,23 +5,27 @@ hash is its anchor, so equal windows have equal anchors; consecutive windows of
 make a segment. Segments meet others of their anchor only, so an anchor's hash says which
 shard they belong to, and a shard needs no text but theirs.
 
-1. Segments go to their anchor as (anchor, content hash, first document, number), combined in
-   each batch before the shuffle. An anchor that occurs once holds no repetition.
-2. A document whose segment's very content stands in an earlier document loses the whole
-   segment, wherever a third of all documents share it: an equality join that Spark can split.
-3. Each different segment of a repeated anchor is taken from its first document. A shard is
-   built into an FM-index (Burrows-Wheeler transform, wavelet matrix), the segments stream
-   through it by backward search, and the matching statistics of WINDOW words or more are
-   reported as intervals with the earliest match; comparison there is word by word.
+1. Segments are counted as (anchor, content hash, first document, number), combined in each
+   batch before the shuffle. An anchor that occurs once holds no repetition. Hashes only name
+   candidates; whatever is removed was found in an index over the words themselves.
+2. Each different segment of a repeated anchor goes from its first document to the anchor's shard. A
+   segment whose content stands in several documents goes from all of them to shards of its content
+   hash, `SALT` documents to each, and its first occurrence to every one of these.
+3. A shard is built into an FM-index (Burrows-Wheeler transform, wavelet matrix). Its segments
+   stream through it by backward search; segments of equal words, compared byte by byte, share
+   one search. Windows whose matching statistics reach WINDOW words and that have an earlier match are
+   reported as intervals.
 4. Intervals go back to the documents, whose covered words are removed.
 
 An anchor with more than `HOT` different segments (a phrase of a third of all documents in
-ever new company) deals out single windows by their own hash instead, and equal windows of
-such a group are compared and dropped while they stream by, so no task holds them all.
-
-Defined cases: a null or empty text has no words; null ids come last in the order; rows that
-share an id are judged against other ids and within themselves, and what they share with each
-other may stay; other columns are ignored or pass through.
+ever new company) deals out single windows by their own hash instead. Anchors are counted by a
+window over their segments; those in buckets of more than `ANCHOR_ROWS` rows in two steps of aggregation and a
+join instead, so no task holds all segments of a common phrase.
+
+Defined cases: ids are integers below 2**62; a null or empty text has no words; rows of null id come last,
+in the order of a hash of their text; rows that share an id (or a null id and a text) are judged against
+other ids and within themselves, and what they share with each other may stay; other columns are
+ignored or pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -45,10 +50,14 @@ ANCHOR = 5
 #: Words in one index, and different segments from which an anchor counts as hot.
 SHARD_WORDS = 1_000_000
 HOT = 50_000
+#: Documents of one content that a shard takes, and copies that it holds before it searches for them.
+SALT, COPIES = 20_000, 200_000
+#: Rows of one of BUCKETS ranges of anchors from which they are counted in two steps.
+ANCHOR_ROWS, BUCKETS = 5_000_000, 1 << 20
 SPAN = WINDOW - ANCHOR + 1
 #: Bytes of text worked on at a time.
 GROUP = 1 << 20
-_LAST = 2**63 - 1
+_NULLS = 2**62
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -159,8 +168,10 @@ def _groups(texts: list[bytes]) -> Iterator[range]:
         yield range(at, len(texts))
 
 
-def _ids(batch: pa.RecordBatch, at: int = 0) -> list[int]:
-    return [_LAST if x is None else x for x in batch.column(at).to_pylist()]
+def _order(id_col: str, text_col: str) -> Column:
+    """The number by which documents are ordered; rows of null id stand behind all others."""
+    last = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(F.lit(_NULLS - 1)).bitwiseOR(F.lit(_NULLS))
+    return F.coalesce(F.col(id_col).cast("long"), last)
 
 
 def _batch(names: list[str], arrays: list) -> pa.RecordBatch:
@@ -171,7 +182,7 @@ def _occurrences(docs: DataFrame, combine: bool) -> DataFrame:
     """(anchor, content, doc, n) of each text's different segments; combined, doc is the smallest of the batch and n counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts, ids, all_texts = [], np.array(_ids(batch)), texts(batch, "text")
+        parts, ids, all_texts = [], batch.column(0).to_numpy(), texts(batch, "text")
         for group in _groups(all_texts):
             s = Segments(all_texts[group.start : group.stop])
             first = s.firsts()
@@ -192,61 +203,110 @@ def _occurrences(docs: DataFrame, combine: bool) -> DataFrame:
 
 def _repeated(docs: DataFrame) -> DataFrame:
     """(anchor, content, first, n, kinds) for each segment of an anchor that occurs more than once."""
-    found = _occurrences(docs, combine=True).repartition("anchor").groupBy("anchor", "content").agg(F.min("doc").alias("first"), F.sum("n").alias("n"))
+    found = materialise(_occurrences(docs, combine=True), "occurrences")
+    bucket = F.pmod("anchor", F.lit(BUCKETS))
+    hot = [r.bucket for r in found.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > ANCHOR_ROWS).collect()]
+    segment = (F.min("doc").alias("first"), F.sum("n").alias("n"))
     over = Window.partitionBy("anchor")
-    found = found.withColumn("kinds", F.count("*").over(over)).withColumn("total", F.sum("n").over(over))
-    return materialise(found.filter("total > 1").drop("total"), "segments")
+    small = (found.filter(~bucket.isin(hot)) if hot else found).repartition("anchor").groupBy("anchor", "content").agg(*segment)
+    out = small.withColumn("kinds", F.count("*").over(over)).withColumn("total", F.sum("n").over(over)).filter("total > 1").drop("total")
+    if hot:
+        large = materialise(found.filter(bucket.isin(hot)).groupBy("anchor", "content").agg(*segment), "common")
+        kinds = large.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1").drop("total")
+        out = out.unionByName(large.join(kinds, "anchor"))
+    return materialise(out, "segments")
 
 
-def _indexed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Searches rows sorted by (anchor, doc, start) shard by shard; yields what is repeated as (doc, content, mask)."""
-    held: list[tuple[int, int, int, int, list[bytes]]] = []
-    size, run_first = 0, (None, b"")
+#: What a document is asked for: a segment for its anchor's shard, its windows one by one, a content's first occurrence, a later one.
+ANCHORED, WINDOWS, FIRST, COPY = 0, 1, 2, 3
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    """(__of, __asked): the segments that each document is asked for, as (content, how, shards of that content)."""
+    segments = _repeated(docs)
+    how = F.when(F.col("kinds") > HOT, WINDOWS).otherwise(ANCHORED)
+    own = segments.filter("kinds > 1").select(F.col("first").alias("__of"), "content", how.alias("how"), F.lit(0).alias("shards"))
+    several = segments.filter("n > 1").select("anchor", "content", "first", F.ceil(F.col("n") / SALT).cast("int").alias("shards"))
+    of = _occurrences(docs, combine=False).join(several, ["anchor", "content"])
+    copies = of.select(F.col("doc").alias("__of"), "content", F.when(F.col("doc") == F.col("first"), FIRST).otherwise(COPY).alias("how"), "shards")
+    return own.unionByName(copies).groupBy("__of").agg(F.collect_list(F.struct("content", "how", "shards")).alias("__asked"))
+
+
+class _Shard:
+    """Segments of a run of keys, and the copies of each that stand behind it."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, int, int, bytes]] = []  # document, start, content, offset, words
+        self.copies: list[tuple[int, int, int, int]] = []  # row, document, content, offset
+        self.size = 0
 
-    def search() -> pa.RecordBatch | None:
-        nonlocal held, size
-        rows, held, size = sorted(held, key=lambda r: r[:2]), [], 0
+    def search(self) -> pa.RecordBatch | None:
+        """(doc, content, mask) of what stands earlier."""
+        order = sorted(range(len(self.rows)), key=lambda i: self.rows[i][:2])
         symbols: dict[bytes, int] = {}
         text, starts, windows = [], [], []
-        for _, _, _, _, words in rows:
+        place = np.empty(len(order), np.int64)
+        for i in order:
+            if starts and self.rows[i][:2] == self.rows[before][:2]:  # the same occurrence under two keys
+                place[i] = place[before]
+                continue
+            before, place[i] = i, len(starts)
+            words = self.rows[i][4].split(b" ")
             starts.append(len(text))
             windows.append(len(words) - WINDOW + 1)
             text += [symbols.setdefault(w, len(symbols) + 1) for w in words]
             text.append(0)
         t, s, w = np.array(text), np.array(starts), np.array(windows)
-        at, earliest, _ = matching_statistics(FMIndex(t, len(symbols) + 1, WINDOW), t, s, w, WINDOW)
         # rows lie in the order of (document, start), so an earlier match is one at a smaller position
-        at = at[earliest < at]
+        at, matches, earlier = matching_statistics(FMIndex(t, len(symbols) + 1, WINDOW), t, s, w, WINDOW)
         of = np.searchsorted(s, at, side="right") - 1
-        mask = np.zeros(len(rows), np.int64)
-        np.bitwise_or.at(mask, of, np.int64(1) << (at - s[of] + np.array([r[3] for r in rows])[of]))
-        hit = np.flatnonzero(mask)
-        return _batch(["doc", "content", "mask"], [np.array([rows[i][0] for i in hit], np.int64), np.array([rows[i][2] for i in hit], np.int64), mask[hit]]) if len(hit) else None
+        bit = np.int64(1) << (at - s[of])
+        met, later = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+        np.bitwise_or.at(met, of[matches > 0], bit[matches > 0])
+        np.bitwise_or.at(later, of[earlier], bit[earlier])
+        doc, _, content, offset, _ = zip(*self.rows, strict=True)
+        parts = [(np.array(doc), np.array(content), later[place] << np.array(offset))]
+        if self.copies:  # the search of a segment is that of its copies; each match is earlier than they are
+            row, doc, content, offset = (np.array(x, np.int64) for x in zip(*self.copies, strict=True))
+            parts.append((doc, content, met[place[row]] << offset))
+        doc, content, mask = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hit = mask != 0
+        return _batch(["doc", "content", "mask"], [doc[hit], content[hit], mask[hit]]) if hit.any() else None
+
+
+def _indexed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Searches rows sorted by (copied, key, doc, start) shard by shard; yields what is repeated as (doc, content, mask).
 
-    last = None
+    A shard holds either contents with their copies or segments by anchor, so no occurrence meets itself.
+    """
+    shard, last = _Shard(), (None, None)
+    known: dict[bytes, int] = {}  # rows of the key at hand by their words
     for batch in it:
-        streamed = []
-        for anchor, doc, start, content, offset, joined in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if offset >= 0 and run_first == (anchor, joined):  # a hot group's window, equal to the earliest of its run
-                streamed.append((doc, content, 1 << offset))
+        for copied, key, doc, start, content, offset, words in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (copied, key) != last:
+                if shard.rows and (shard.size >= SHARD_WORDS or copied != last[0]):
+                    if out := shard.search():
+                        yield out
+                    shard = _Shard()
+                known, last = {}, (copied, key)
+            if (row := known.get(words)) is not None:
+                shard.copies.append((row, doc, content, offset))
+                if len(shard.copies) >= COPIES:  # the key may go on: its rows stay in the next shard
+                    if out := shard.search():
+                        yield out
+                    left = [shard.rows[i] for i in known.values()]
+                    shard, known = _Shard(), {r[4]: i for i, r in enumerate(left)}
+                    shard.rows, shard.size = left, sum(r[4].count(b" ") + 2 for r in left)
                 continue
-            if offset >= 0 and run_first[0] != anchor:
-                run_first = (anchor, joined)
-            if size >= SHARD_WORDS and anchor != last:
-                if out := search():
-                    yield out
-            words = joined.split(b" ")
-            held.append((doc, start, content, max(offset, 0), words))
-            size += len(words) + 1
-            last = anchor
-        if streamed:
-            yield _batch(["doc", "content", "mask"], [np.array(x, np.int64) for x in zip(*streamed, strict=True)])
-    if held and (out := search()):
+            known[words] = len(shard.rows)
+            shard.rows.append((doc, start, content, offset, words))
+            shard.size += words.count(b" ") + 2
+    if shard.rows and (out := shard.search()):
         yield out
 
 
 def _contents(with_lists: DataFrame, text_col: str) -> DataFrame:
-    """(anchor, doc, start, content, offset, words) of the segments each document is asked for; offset is -1 but for single windows.
+    """(copied, key, doc, start, content, offset, words) of the segments each document is asked for; key says where they meet others.
 
     `with_lists` has columns __of, __asked and the text.
     """
@@ -257,42 +317,48 @@ def _contents(with_lists: DataFrame, text_col: str) -> DataFrame:
         ids, all_texts, asked = column("__of"), texts(batch, text_col), column("__asked")
         for group in _groups(all_texts):
             s = Segments(all_texts[group.start : group.stop])
-            first, wanted, at = s.firsts(), {}, -1
+            first, at = s.firsts(), -1
+            wanted: dict[int, list[tuple[int, int]]] = {}
             for i, k, content, start, count, anchor in zip(first.tolist(), *(x[first].tolist() for x in (s.text, s.content, s.start, s.windows, s.anchor)), strict=True):
                 if k != at:
-                    at, wanted = k, {x["content"]: x["hot"] for x in asked[group.start + k]}
+                    at, wanted = k, {}
+                    for x in asked[group.start + k]:
+                        wanted.setdefault(x["content"], []).append((x["how"], x["shards"]))
                     words = plain_words(all_texts[group.start + k])
-                hot = wanted.get(content)
-                if hot is None:
-                    continue
-                doc = ids[group.start + k]
-                if hot:
-                    rows += [(h, doc, start + o, content, o, b" ".join(words[start + o : start + o + WINDOW])) for o, h in enumerate(s.window_hashes(i).tolist())]
-                else:
-                    rows.append((anchor, doc, start, content, -1, b" ".join(words[start : start + count + WINDOW - 1])))
+                for how, shards in wanted.get(content, ()):
+                    doc = ids[group.start + k]
+                    if how == WINDOWS:
+                        rows += [(False, h, doc, start + o, content, o, b" ".join(words[start + o : start + o + WINDOW])) for o, h in enumerate(s.window_hashes(i).tolist())]
+                        continue
+                    # a third of all documents may share a content: they go to several shards, and the first to each of these
+                    keys = [anchor] if how == ANCHORED else range(shards) if how == FIRST else [xxhash.xxh32_intdigest(b"%d" % doc) % shards]
+                    joined = b" ".join(words[start : start + count + WINDOW - 1])
+                    rows += [(how != ANCHORED, k if how == ANCHORED else _signed(content + k * 0x9E3779B97F4A7C15), doc, start, content, 0, joined) for k in keys]
         if not rows:
             return None
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        return _batch(["anchor", "doc", "start", "content", "offset", "words"], [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)])
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return _batch(["copied", "key", "doc", "start", "content", "offset", "words"], [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)])
+
+    return map_batches(with_lists, run, "copied boolean, key long, doc long, start int, content long, offset int, words binary")
+
 
-    return map_batches(with_lists, run, "anchor long, doc long, start int, content long, offset int, words binary")
+def _signed(x: int) -> int:
+    """The low 64 bits as a signed number."""
+    return ((x + 2**63) & (2**64 - 1)) - 2**63
 
 
 def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`docs` with a column __cuts: the segments that lose words (content hash) and the windows of each as a mask, -1 for all.
+    """`docs` with a column __cuts: the segments that lose words (content hash) and the windows of each as a mask.
 
     Texts are dealt out by document once; both joins, for the contents and for the cuts, read that one exchange,
     which is why both take all columns.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    dealt = docs.withColumn("__of", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).repartition("__of")
-    segments = _repeated(narrow)
-    elsewhere = _occurrences(narrow, combine=False).join(segments.filter("n > 1").select("anchor", "content", "first"), ["anchor", "content"])
-    whole = elsewhere.filter("doc != first").select("doc", "content", F.lit(-1).cast("long").alias("mask"))
-    asked = segments.groupBy(F.col("first").alias("__of")).agg(F.collect_list(F.struct("content", (F.col("kinds") > HOT).alias("hot"))).alias("__asked"))
+    order = _order(id_col, text_col)
+    dealt = docs.withColumn("__of", order).repartition("__of")
+    asked = _asked(docs.select(order.alias("doc"), F.col(text_col).cast("string").alias("text")))
     contents = _contents(dealt.join(asked, "__of"), text_col)
-    matched = contents.repartition("anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_indexed, "doc long, content long, mask long")
-    cuts = whole.unionByName(matched).groupBy(F.col("doc").alias("__of")).agg(F.collect_list(F.struct("content", "mask")).alias("__cuts"))
+    matched = contents.repartition("key").sortWithinPartitions("copied", "key", "doc", "start").mapInArrow(_indexed, "doc long, content long, mask long")
+    cuts = matched.groupBy(F.col("doc").alias("__of")).agg(F.collect_list(F.struct("content", "mask")).alias("__cuts"))
     return dealt.join(cuts, "__of", "left").drop("__of")
 
 
@@ -320,7 +386,7 @@ def removed_words(all_texts: list[bytes], cuts: list[list[dict] | None]) -> list
             if edges[k] is None:
                 edges[k] = np.zeros(s.first_word[k + 1] - s.first_word[k] + 1, np.int64)
             edge = edges[k]
-            if mask == -1:
+            if mask == -1:  # stands earlier in the same text
                 edge[start] += 1
                 edge[start + windows + WINDOW - 1] -= 1
             else:

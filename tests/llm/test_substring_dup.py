@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tarnwick.llm import substring_dup as s
-from tarnwick.llm.fm_index import FMIndex, WaveletMatrix
+from tarnwick.llm.fm_index import BitRank, FMIndex, WaveletMatrix, matching_statistics
 
 
 def corpus(seed=4, n=60):
@@ -47,8 +47,34 @@ def test_backward_search_counts():
             assert high[0] - low[0] == sum((text[i : i + length] == pattern).all() for i in range(len(text) - length + 1))
 
 
-@pytest.mark.parametrize("hot, shard, group", [(50_000, 1_000_000, 1 << 20), (0, 1_000_000, 500), (50_000, 200, 1 << 20)])
-def test_matches_brute_force(spark, monkeypatch, hot, shard, group):
+def test_matching_statistics_against_all_pairs():
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(1, 3, rng.integers(5, 12)) for _ in range(40)]
+    text = np.concatenate([np.concatenate([r, [0]]) for r in rows])
+    starts = np.cumsum([0] + [len(r) + 1 for r in rows[:-1]])
+    windows = np.array([len(r) - 4 for r in rows])
+    at, matches, earlier = matching_statistics(FMIndex(text, 3, 5), text, starts, windows, 5)
+    assert sorted(at) == sorted(a + i for a, n in zip(starts, windows) for i in range(n))
+    every = {int(a): tuple(text[a : a + 5]) for a in at}
+    for a, n, e in zip(at.tolist(), matches.tolist(), earlier.tolist()):
+        same = [b for b in every if every[b] == every[a]]
+        assert n == len(same) and e == (min(same) < a)
+
+
+def test_places_of_ones():
+    rng = np.random.default_rng(5)
+    bits = (rng.random(1000) < 0.1).astype(np.uint8)
+    ones = np.flatnonzero(bits)
+    assert (BitRank(bits).place(np.arange(len(ones))) == ones).all()
+
+
+@pytest.mark.parametrize(
+    "hot, shard, group, salt, copies, anchor_rows",
+    [(50_000, 1_000_000, 1 << 20, 20_000, 200_000, 10**7), (0, 1_000_000, 500, 20_000, 3, 10**7), (50_000, 200, 1 << 20, 2, 5, 0)],
+)
+def test_matches_brute_force(spark, monkeypatch, hot, shard, group, salt, copies, anchor_rows):
+    for name, value in (("SALT", salt), ("COPIES", copies), ("ANCHOR_ROWS", anchor_rows)):
+        monkeypatch.setattr(s, name, value)
     monkeypatch.setattr(s, "GROUP", group)
     monkeypatch.setattr(s, "HOT", hot)
     monkeypatch.setattr(s, "SHARD_WORDS", shard)
@@ -81,3 +107,12 @@ def test_dedup_keeps_columns_and_clean_texts(spark):
         else:
             assert len(rows[d].split()) == total - removed
     assert s.dedup(frame.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_judged_against_each_other(spark):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    rows = [(None, " ".join(rng.choice(words) for _ in range(30)) + " " + passage, i) for i in range(40)] + [(None, None, 50), (None, "", 51), (None, "", 52)]
+    kept = s.dedup(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)).collect()
+    assert len(kept) == len(rows) and sum(passage in (r.text or "") for r in kept) == 1
