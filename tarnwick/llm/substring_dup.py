@@ -8,9 +8,9 @@ shard they belong to, and a shard needs no text but theirs.
 1. Segments are counted as (anchor, content hash, first document, number), combined in each
    batch before the shuffle. An anchor that occurs once holds no repetition. Hashes only name
    candidates; whatever is removed was found in an index over the words themselves.
-2. Each different segment of a repeated anchor goes from its first document to the anchor's shard. A
-   segment whose content stands in several documents goes from all of them to shards of its content
-   hash, `SALT` documents to each, and its first occurrence to every one of these.
+2. Each different segment of a repeated anchor goes from its first document to the anchor's shard, and
+   so do its copies in other documents. Where an anchor occurs more than `SALT` times, copies go to shards of
+   their content hash instead, `SALT` documents to each, and the first occurrence to every one of these.
 3. A shard is built into an FM-index (Burrows-Wheeler transform, wavelet matrix). Its segments
    stream through it by backward search; segments of equal words, compared byte by byte, share
    one search. Windows whose matching statistics reach WINDOW words and that have an earlier match are
@@ -202,17 +202,17 @@ def _occurrences(docs: DataFrame, combine: bool) -> DataFrame:
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """(anchor, content, first, n, kinds) for each segment of an anchor that occurs more than once."""
+    """(anchor, content, first, n, kinds, total) for each segment of an anchor that occurs more than once."""
     found = materialise(_occurrences(docs, combine=True), "occurrences")
     bucket = F.pmod("anchor", F.lit(BUCKETS))
     hot = [r.bucket for r in found.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > ANCHOR_ROWS).collect()]
     segment = (F.min("doc").alias("first"), F.sum("n").alias("n"))
     over = Window.partitionBy("anchor")
     small = (found.filter(~bucket.isin(hot)) if hot else found).repartition("anchor").groupBy("anchor", "content").agg(*segment)
-    out = small.withColumn("kinds", F.count("*").over(over)).withColumn("total", F.sum("n").over(over)).filter("total > 1").drop("total")
+    out = small.withColumn("kinds", F.count("*").over(over)).withColumn("total", F.sum("n").over(over)).filter("total > 1")
     if hot:
         large = materialise(found.filter(bucket.isin(hot)).groupBy("anchor", "content").agg(*segment), "common")
-        kinds = large.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1").drop("total")
+        kinds = large.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
         out = out.unionByName(large.join(kinds, "anchor"))
     return materialise(out, "segments")
 
@@ -224,11 +224,13 @@ ANCHORED, WINDOWS, FIRST, COPY = 0, 1, 2, 3
 def _asked(docs: DataFrame) -> DataFrame:
     """(__of, __asked): the segments that each document is asked for, as (content, how, shards of that content)."""
     segments = _repeated(docs)
+    apart = (F.col("total") > SALT) | (F.col("kinds") > HOT)
     how = F.when(F.col("kinds") > HOT, WINDOWS).otherwise(ANCHORED)
-    own = segments.filter("kinds > 1").select(F.col("first").alias("__of"), "content", how.alias("how"), F.lit(0).alias("shards"))
-    several = segments.filter("n > 1").select("anchor", "content", "first", F.ceil(F.col("n") / SALT).cast("int").alias("shards"))
+    own = segments.filter((F.col("kinds") > 1) & ((F.col("n") == 1) | apart)).select(F.col("first").alias("__of"), "content", how.alias("how"), F.lit(0).alias("shards"))
+    several = segments.filter("n > 1").select("anchor", "content", "first", F.when(apart, F.ceil(F.col("n") / SALT)).otherwise(0).cast("int").alias("shards"))
     of = _occurrences(docs, combine=False).join(several, ["anchor", "content"])
-    copies = of.select(F.col("doc").alias("__of"), "content", F.when(F.col("doc") == F.col("first"), FIRST).otherwise(COPY).alias("how"), "shards")
+    how = F.when(F.col("shards") == 0, ANCHORED).when(F.col("doc") == F.col("first"), FIRST).otherwise(COPY)
+    copies = of.select(F.col("doc").alias("__of"), "content", how.alias("how"), "shards")
     return own.unionByName(copies).groupBy("__of").agg(F.collect_list(F.struct("content", "how", "shards")).alias("__asked"))
 
 
