@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.session import materialise
+from tarnwick.session import materialise, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = materialise(large.distinct(), "stars")
         lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        e = materialise(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, e = e, materialise(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(old, least, large, lowest)
         # done when every node has one parent and no parent has one itself
         n, different = e.agg(F.count("*"), F.count_distinct("u")).first()
         if n == different and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

@@ -20,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
 
-    Where the setting is absent (tests, a local session) a fresh local folder is
-    made and set, so that checkpoint() and written tables both work.
+    Where the setting is absent in a local session (as in tests) a fresh local folder is
+    made and set, so that checkpoint() and written tables both work; on a cluster its
+    absence is an error, since executors don't see the driver's folders.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = sc._jsc.sc().getCheckpointDir()
         path = kept.get() if kept.isDefined() else None
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="spark-tarnwick-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -45,14 +48,41 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/tarnwick-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames that `materialise` returned, once everything derived from them is written."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def scratch() -> frozenset[str]:
+    """The tables that stand in the scratch folder now."""
+    return frozenset(_written)
+
+
+def release_since(spark: SparkSession, before: frozenset[str], *keep: DataFrame) -> None:
+    """Deletes the tables written after `before` was taken, but for those behind `keep`."""
+    kept = {getattr(df, "_scratch", None) for df in keep}
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _written.remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes the tables that `materialise` wrote in this process, when no frame that reads them is needed any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        gone += int(path.getFileSystem(conf).delete(path, True))
+        gone += int(_delete(spark, _written.pop()))
     return gone
