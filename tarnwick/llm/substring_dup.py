@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from tarnwick.llm.batches import map_batches, plain_words, texts
 from tarnwick.llm.fm_index import FMIndex, matching_statistics
-from tarnwick.session import materialise, table
+from tarnwick.session import materialise, release, table
 
 WINDOW = 20
 ANCHOR = 5
@@ -214,7 +214,9 @@ def _repeated(docs: DataFrame) -> DataFrame:
         large = materialise(found.filter(bucket.isin(hot)).groupBy("anchor", "content").agg(*segment), "common")
         kinds = large.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
         out = out.unionByName(large.join(kinds, "anchor"))
-    return materialise(out, "segments")
+    segments = materialise(out, "segments")
+    release(found)
+    return segments
 
 
 #: What a document is asked for: a segment for its anchor's shard, its windows one by one, a content's first occurrence, a later one.
