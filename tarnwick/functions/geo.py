@@ -63,12 +63,39 @@ def parent(key: str | Column, level: int) -> Column:
 
 
 def geojson_box(geometry: str) -> Column:
-    """struct(west, south, east, north) of a GeoJSON text: its numbers alternate between longitude and latitude."""
-    numbers = F.transform(F.regexp_extract_all(F.get_json_object(geometry, "$.coordinates"), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    lon, lat = F.filter(numbers, lambda _, i: i % 2 == 0), F.filter(numbers, lambda _, i: i % 2 == 1)
+    """struct(west, south, east, north) of a GeoJSON text: the first two numbers of each position, whatever altitude follows."""
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    position = F.lit(rf"\[\s*{number}\s*,\s*{number}[^\[\]]*\]")
+    part = lambda k: F.transform(F.regexp_extract_all(F.get_json_object(geometry, "$.coordinates"), position, F.lit(k)), lambda x: x.cast("double"))
+    lon, lat = part(1), part(2)
     return F.struct(F.array_min(lon).alias("west"), F.array_min(lat).alias("south"), F.array_max(lon).alias("east"), F.array_max(lat).alias("north"))
 
 
+def geojson_wkt(geometry: str) -> Column:
+    """Well-known text of a GeoJSON Point, MultiPoint, LineString or Polygon; null for anything else.
+
+    Altitudes are left out, and an open ring is closed. A line needs two positions, a ring three.
+    """
+    kind = F.initcap(F.get_json_object(geometry, "$.type"))
+    coordinates = F.get_json_object(geometry, "$.coordinates")
+    pair = lambda p: F.when(F.size(p) >= 2, F.concat(p[0].cast("string"), F.lit(" "), p[1].cast("string")))
+    # an incomplete position makes a list shorter than what it came from
+    whole = lambda found, source: F.size(F.filter(found, lambda x: x.isNotNull())) == F.size(source)
+    point = F.from_json(coordinates, "array<double>")
+    line = F.from_json(coordinates, "array<array<double>>")
+    rings = F.from_json(coordinates, "array<array<array<double>>>")
+    pairs = F.transform(line, pair)
+    closed = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    ring = lambda r: F.when((F.size(r) >= 3) & whole(F.transform(r, pair), r), F.concat(F.lit("("), F.array_join(closed(F.transform(r, pair)), ", "), F.lit(")")))
+    drawn = F.transform(rings, ring)
+    return (
+        F.when(kind == "Point", F.concat(F.lit("POINT ("), pair(point), F.lit(")")))
+        .when((kind == "Multipoint") & (F.size(line) > 0) & whole(pairs, line), F.concat(F.lit("MULTIPOINT ("), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("("), p, F.lit(")"))), ", "), F.lit(")")))
+        .when((kind == "Linestring") & (F.size(line) > 1) & whole(pairs, line), F.concat(F.lit("LINESTRING ("), F.array_join(pairs, ", "), F.lit(")")))
+        .when((kind == "Polygon") & (F.size(rings) > 0) & whole(drawn, rings), F.concat(F.lit("POLYGON ("), F.array_join(drawn, ", "), F.lit(")")))
+    )
+
+
 def coverage_level(cells, column: str, most: int = 5000) -> int:
     """The finest level at which the quadrant keys of a frame are at most `most` cells: one aggregate counts all levels."""
     deepest = cells.agg(F.max(F.length(column))).first()[0] or 0

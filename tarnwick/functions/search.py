@@ -41,10 +41,14 @@ def term_rank(query: str, text: Column) -> Column:
     return hits / (1 + F.log(F.lit(1.0) + F.length(text)))
 
 
+#: The most values of one attribute clause.
+VALUES = 50
+
+
 def clause(spec: str) -> tuple[bool, str, str, list]:
     """(negated, key, operator, values) of `key`, `key:value` or `key:op:value|value`, with ! in front for the opposite.
 
-    Values are booleans, then numbers, then text. Only eq and ieq take several.
+    Values are booleans, then numbers, then text. Only eq and ieq take several, and `VALUES` at most.
     """
     negated, spec = spec.startswith("!"), spec.lstrip("!")
     key, *rest = spec.split(":", 2)
@@ -52,7 +56,9 @@ def clause(spec: str) -> tuple[bool, str, str, list]:
         return negated, key, "exists", []
     operators = ("exists", "eq", "neq", "ieq", "ineq", "lt", "lte", "gt", "gte")
     op, values = (rest[0], rest[1]) if len(rest) == 2 and rest[0] in operators else ("eq", ":".join(rest))
-    found = [_literal(v) for v in values.split("|")][:50]
+    found = [_literal(v) for v in values.split("|")]
+    if len(found) > VALUES:
+        raise ValueError(f"{len(found)} values in a clause, {VALUES} at most")
     if len(found) > 1 and op not in ("eq", "ieq"):
         raise ValueError(f"{op} takes one value")
     return negated, key, op, found

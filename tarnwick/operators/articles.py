@@ -18,6 +18,23 @@ def date_range(df: DataFrame, column: str, first=None, last=None) -> DataFrame:
     return df if last is None else df.filter(F.col(column) <= F.lit(last))
 
 
+#: The most attribute clauses of one request.
+CLAUSES = 25
+
+
+def of_natures(df: DataFrame, natures: list[str] | None, column: str = "nature") -> DataFrame:
+    """Rows of any of the natures; blanks and doubles don't count, and without any left all rows stay."""
+    wanted = list(dict.fromkeys(n.strip() for n in natures or [] if n and n.strip()))
+    return df.filter(F.col(column).isin(wanted)) if wanted else df
+
+
+def canonical_presence(df: DataFrame, present: bool | None, column: str = "canonical_id") -> DataFrame:
+    """Rows with a canonical, without one, or all where `present` is None."""
+    if present is None:
+        return df
+    return df.filter(F.col(column).isNotNull() if present else F.col(column).isNull())
+
+
 def equal_without_case(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.filter(F.lower(column) == value.strip().lower())
 
@@ -46,9 +63,12 @@ def meta_clauses(df: DataFrame, meta: DataFrame, key: str, clauses: list[tuple[b
 def attribute_clauses(df: DataFrame, attributes: DataFrame, key: str, specs: list[str]) -> DataFrame:
     """Rows of which each clause (see `functions.search.clause`) finds an attribute row, or with ! finds none.
 
-    `attributes` has the key, name, value_text, value_number and value_boolean.
+    `attributes` has the key, name, value_text, value_number and value_boolean. More than `CLAUSES` are an error: a
+    clause that were left out would widen the result.
     """
-    for spec in specs[:25]:
+    if len(specs) > CLAUSES:
+        raise ValueError(f"{len(specs)} attribute clauses, {CLAUSES} at most")
+    for spec in specs:
         negated, name, op, values = search.clause(spec)
         hit = search.matches(op, values, text=F.col("value_text"), number=F.col("value_number"), boolean=F.col("value_boolean"))
         df = having(df, attributes.filter((F.col("name") == name) & hit), key, negate=negated)

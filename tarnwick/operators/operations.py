@@ -84,3 +84,14 @@ def by_project(rows: DataFrame, projects: DataFrame, key: str, flags: dict[str,
     """Counts by flag for every project, zeros included."""
     found = rows.groupBy(key).agg(*(F.count(F.when(v, 1)).alias(k) for k, v in flags.items()))
     return projects.join(found, key, "left").fillna(0, list(flags))
+
+
+def retained(events: DataFrame, created: str, now: Column, days: int = 90) -> DataFrame:
+    """Events within the time they are kept; those before it are purged."""
+    return events.filter(F.col(created) >= now - F.make_dt_interval(F.lit(days)))
+
+
+def purge_counts(events: DataFrame, kind: str, created: str, now: Column, days: int = 90) -> DataFrame:
+    """(kind, kept, purged) of events by kind, in one pass."""
+    old = F.coalesce(F.col(created) < now - F.make_dt_interval(F.lit(days)), F.lit(False))
+    return events.groupBy(kind).agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("purged"))

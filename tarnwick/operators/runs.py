@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.operators.articles import per_group
+
 LEASE = "5 minutes"
 
 
@@ -45,17 +47,27 @@ def history(direct: DataFrame, pointed: DataFrame, mentioned: DataFrame) -> Data
 
 
 def slugs(rows: DataFrame, key: str, label: str, taken: DataFrame | None = None, attempts: int = 8) -> DataFrame:
-    """(key, slug): labels as slugs; doubles get a number, and beyond `attempts` a part of the key's hash. `taken` (slug) stay unused."""
+    """(key, slug): labels as slugs, all different and none in `taken` (slug).
+
+    Rows of one base get it in the order of their keys, first plain and then with the smallest numbers that are free:
+    what is taken, or is the plain base of another label, isn't. Beyond `attempts` comes a part of the key's hash.
+    """
     base = F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9]+", "-"), "^-|-$", "")
     b = rows.select(key, F.when(base == "", "item").otherwise(base).alias("base"))
-    if taken is not None:
-        used = taken.select(F.regexp_replace("slug", r"-\d+$", "").alias("base"), F.coalesce(F.nullif(F.regexp_extract("slug", r"-(\d+)$", 1), F.lit("")).cast("int"), F.lit(1)).alias("n"))
-        b = b.join(used.groupBy("base").agg(F.max("n").alias("__from")), "base", "left")
-    else:
-        b = b.withColumn("__from", F.lit(0))
-    n = F.row_number().over(Window.partitionBy("base").orderBy(key)) + F.coalesce("__from", F.lit(0))
-    tail = F.when(n == 1, "").when(n <= attempts, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.concat(F.lit("-"), F.substring(F.md5(F.col(key).cast("string")), 1, 8)))
-    return b.select(key, F.concat("base", tail).alias("slug"))
+    plain = taken.select("slug") if taken is not None else rows.sparkSession.createDataFrame([], "slug string")
+    numbered = plain.select("slug").unionByName(b.select(F.col("base").alias("slug")).distinct()).filter(F.col("slug").rlike(r"^.+-[1-9]\d{0,8}$"))
+    number = F.regexp_extract("slug", r"-(\d+)$", 1).cast("int")
+    used = numbered.select(F.regexp_replace("slug", r"-\d+$", "").alias("base"), number.alias("n")).filter(number >= 2)
+    used = used.unionByName(plain.select(F.col("slug").alias("base"), F.lit(1).alias("n"))).filter(F.col("n") <= attempts)
+    used = used.groupBy("base").agg(F.collect_set("n").alias("used"))
+    free = F.array_except(F.sequence(F.lit(1), F.lit(attempts)), F.coalesce("used", F.array().cast("array<int>")))
+    # only the first rows of a base can get a number, so a frequent base is cut before the shuffle
+    first = per_group(b, ["base"], [F.col(key)], attempts)
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy(key))).join(used, "base", "left")
+    first = first.select(key, F.when(F.col("n") <= F.size(free), F.get(free, F.col("n") - 1)).alias("given"))
+    tail = F.when(F.col("given") == 1, "").when(F.col("given").isNotNull(), F.concat(F.lit("-"), F.col("given").cast("string")))
+    tail = F.coalesce(tail, F.concat(F.lit("-"), F.substring(F.md5(F.col(key).cast("string")), 1, 8)))
+    return b.join(first, key, "left").select(key, F.concat("base", tail).alias("slug"))
 
 
 def stored_check(findings: DataFrame, order: list[Column], scope: str) -> DataFrame:

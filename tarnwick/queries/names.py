@@ -72,14 +72,14 @@ def person_duplicates(spark, sf_dir):
 
 
 @query(
-    "with c as (select o_orderkey % 50 as article, 'customer' as from_type, o_custkey as from_id, 'supplier' as to_type, l_suppkey as to_id, case when l_linenumber % 2 = 0 then 'buys' else 'visits' end as nature, 1 - l_discount as confidence, case when l_quantity < 45 then 'q' || l_linenumber end as quote from orders join lineitem on o_orderkey = l_orderkey where o_orderkey < 2000),"
+    "with c as (select o_orderkey as article, 'customer' as from_type, o_custkey as from_id, 'supplier' as to_type, l_suppkey as to_id, case when l_linenumber % 2 = 0 then 'buys' else 'visits' end as nature, 1 - l_discount as confidence, case when l_quantity < 45 then 'q' || l_linenumber end as quote from orders join lineitem on o_orderkey = l_orderkey),"
     " b as (select *, row_number() over (partition by article, from_id, to_id, nature order by confidence desc, quote) as n from c where confidence >= 0.9 and quote is not null and nature = 'buys'), t as (select *, row_number() over (partition by article order by confidence desc, from_id, to_id) as k from b where n = 1)"
     " select article, from_id, to_id, round(confidence, 4) as confidence, quote from t where k <= 20"
 )
 def auto_connections(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey < 2000").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     proposed = rows.selectExpr(
-        "o_orderkey % 50 as article", "'customer' as from_type", "o_custkey as from_id", "'supplier' as to_type", "l_suppkey as to_id", "case when l_linenumber % 2 = 0 then 'buys' else 'visits' end as nature", "1 - l_discount as confidence", "case when l_quantity < 45 then concat('q', l_linenumber) end as quote"
+        "o_orderkey as article", "'customer' as from_type", "o_custkey as from_id", "'supplier' as to_type", "l_suppkey as to_id", "case when l_linenumber % 2 = 0 then 'buys' else 'visits' end as nature", "1 - l_discount as confidence", "case when l_quantity < 45 then concat('q', l_linenumber) end as quote"
     )
     rules = spark.createDataFrame([("customer", "supplier", "buys")], "from_type string, to_type string, nature string")
     return k.valid(proposed, rules).select("article", "from_id", "to_id", F.round("confidence", 4).alias("confidence"), "quote")

@@ -11,12 +11,12 @@ from tarnwick.queries.catalog import _GRAMS
 from tarnwick.session import table
 
 _SIM = "len(list_intersect(a.g, b.g)) / cast(len(list_distinct(list_concat(a.g, b.g))) as double)"
-_NAMES = f"names as (select c_custkey as id, c_name as name, {_GRAMS.format('c_name')} as g from customer where c_custkey % 10 = 3), aliases as (select s_suppkey as canonical, lower(s_name) as alias, {_GRAMS.format('lower(s_name)')} as g from supplier)"
+_NAMES = f"names as (select c_custkey as id, c_name as name, {_GRAMS.format('c_name')} as g from customer where c_custkey % 50 = 0), aliases as (select s_suppkey as canonical, lower(s_name) as alias, {_GRAMS.format('lower(s_name)')} as g from supplier)"
 _RECALL = f"recall as (select id, canonical, similarity, row_number() over (partition by id order by similarity desc, canonical) as recall_rank from (select id, canonical, max({_SIM}) as similarity from names a, aliases b group by 1, 2) where similarity > 0.12)"
 
 
 def _recall(spark, sf_dir, k=24):
-    names = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    names = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     aliases = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("canonical"), F.col("s_name").alias("alias"))
     return r.alias_recall(names, "id", "name", aliases, "canonical", "alias", k)
 
@@ -85,7 +85,7 @@ def decision_ladder(spark, sf_dir):
     found = _recall(spark, sf_dir)
     c = found.withColumn("raw", F.col("similarity")).withColumn("allowed", F.col("canonical") % 9 == F.col("id") % 9)
     c = c.withColumn("exact", (F.col("canonical") == F.col("id")) & (F.col("id") % 20 == 3)).withColumn("score", r.gated(F.col("similarity"), F.col("canonical") % 4 == 1))
-    names = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50 == 3).alias("private"), (F.col("c_custkey") % 40 != 13).alias("materializable"))
+    names = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50 == 3).alias("private"), (F.col("c_custkey") % 40 != 13).alias("materializable"))
     return r.decide(c, names, "id")
 
 

@@ -56,3 +56,16 @@ def remapped(rows: DataFrame, ids: DataFrame, *references: str) -> DataFrame:
 def fresh_ids(rows: DataFrame, key: Column, namespace: str) -> DataFrame:
     """(old, new): a new id for each imported one, the same whenever it is made again for this import."""
     return rows.select(key.alias("old")).distinct().withColumn("new", F.sha2(F.concat_ws("/", F.lit(namespace), F.col("old").cast("string")), 256).substr(1, 32))
+
+
+def source_file_parts(path: str) -> Column:
+    """struct(day, article_id, update_key) of an export's path: the first date in it, and the two ten-sign keys at the end of its name."""
+    text = F.col(path)
+    found = lambda source, pattern: F.nullif(F.regexp_extract(source, pattern, 1), F.lit(""))
+    key = "[a-zA-Z0-9]{10}"
+    name = F.replace(text, F.lit("-output.json"), F.lit(".json"))
+    return F.struct(
+        found(text, r"(\d{4}-\d{2}-\d{2})").alias("day"),
+        found(text, rf"-({key})-{key}\.json$").alias("article_id"),
+        found(name, rf"-({key})\.json$").alias("update_key"),
+    )

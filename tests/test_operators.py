@@ -158,3 +158,48 @@ def test_scratch_tables_can_be_cleared(spark):
 
     kept = materialise(spark.range(3), "x")
     assert kept.count() == 3 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
+
+
+def test_attribute_clauses_have_limits(spark):
+    """A clause too many is an error, for leaving it out would widen the result."""
+    import pytest
+
+    from tarnwick.functions import search
+    from tarnwick.operators import articles
+
+    frame = spark.createDataFrame([(1, "k0", "x", None, None)], "id long, name string, value_text string, value_number double, value_boolean boolean")
+    assert articles.attribute_clauses(frame, frame, "id", ["k0:x"] * 25).count() == 1
+    with pytest.raises(ValueError):
+        articles.attribute_clauses(frame, frame, "id", ["k0:x"] * 26)
+    assert len(search.clause("k:eq:" + "|".join(map(str, range(50))))[3]) == 50
+    with pytest.raises(ValueError):
+        search.clause("k:eq:" + "|".join(map(str, range(51))))
+
+
+def test_geometry_texts(spark):
+    from tarnwick.functions import geo
+
+    shapes = [
+        '{"type":"LineString","coordinates":[[10,50,300],[11,51,310]]}',
+        '{"type":"MultiPoint","coordinates":[[1.5,2],[-3e1,4]]}',
+        '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]],[[0.2,0.2],[0.3,0.2],[0.3,0.3]]]}',
+        '{"type":"LineString","coordinates":[[1,2]]}',
+        '{"type":"LineString","coordinates":[[1,2],[3]]}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(shapes)), "id long, g string").select("id", geo.geojson_box("g").alias("b"), geo.geojson_wkt("g").alias("w")).orderBy("id").collect()
+    assert tuple(rows[0].b) == (10.0, 50.0, 11.0, 51.0) and tuple(rows[1].b) == (-30.0, 2.0, 1.5, 4.0)
+    assert [r.w for r in rows] == [
+        "LINESTRING (10.0 50.0, 11.0 51.0)",
+        "MULTIPOINT ((1.5 2.0), (-30.0 4.0))",
+        "POLYGON ((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0), (0.2 0.2, 0.3 0.2, 0.3 0.3, 0.2 0.2))",
+        None,
+        None,
+    ]
+
+
+def test_source_files(spark):
+    from tarnwick.sources import documents
+
+    paths = ["in/2024-03-05/a-story-abcdefghij-0123456789.json", "a-abcdefghij-0123456789-output.json", "plain.json", None]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "id long, p string").select("id", documents.source_file_parts("p").alias("x")).orderBy("id").collect()
+    assert [tuple(r.x) for r in rows] == [("2024-03-05", "abcdefghij", "0123456789"), (None, None, "0123456789"), (None, None, None), (None, None, None)]
