@@ -131,6 +131,21 @@ def fingerprint(**fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*kept)), 256)
 
 
+def signature(secret: str | Column, timestamp: str | Column, body: str | Column) -> Column:
+    """HMAC-SHA256 of timestamp.body in hex; null where any of them is."""
+    raw = F.encode(_c(secret), "UTF-8")
+    digits = F.when(F.length(raw) > 64, F.sha2(raw, 256)).otherwise(F.lower(F.hex(raw)))
+    key = F.rpad(digits, 128, "0")
+
+    def padded(byte: int) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.lit(127), F.lit(2)), lambda i: F.conv(F.substring(key, i, F.lit(2)), 16, 10).cast("int"))
+        return F.unhex(F.array_join(F.transform(pairs, lambda b: F.lpad(F.hex(b.bitwiseXOR(F.lit(byte))), 2, "0")), ""))
+
+    message = F.encode(F.concat(_c(timestamp), F.lit("."), _c(body)), "UTF-8")
+    inner = F.unhex(F.sha2(F.concat(padded(0x36), message), 256))
+    return F.sha2(F.concat(padded(0x5C), inner), 256)
+
+
 def cursor(sequence: str | Column, seconds: str | Column) -> Column:
     """An opaque URL-safe position in an event feed: version, sequence and epoch second in Base64 without padding."""
     raw = F.concat(F.lit("v1:"), _c(sequence).cast("string"), F.lit(":"), _c(seconds).cast("string"))

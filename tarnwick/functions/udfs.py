@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import hashlib
-import hmac
 import unicodedata
 
 import pandas as pd
@@ -18,12 +16,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def signature(secret: pd.Series, timestamp: pd.Series, body: pd.Series) -> pd.Series:
-    """HMAC-SHA256 of timestamp.body in hex."""
-    return pd.Series([hmac.new(s.encode(), f"{t}.{x}".encode(), hashlib.sha256).hexdigest() for s, t, x in zip(secret, timestamp, body, strict=True)])
-
-
 @F.pandas_udf(StringType())
 def unmarked(x: pd.Series) -> pd.Series:
     """Full compatibility decomposition without combining marks, for scripts that `text.fold_key` doesn't cover."""

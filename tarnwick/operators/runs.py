@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.operators.articles import per_group
+from tarnwick.session import materialise
 
 LEASE = "5 minutes"
 
@@ -70,10 +71,30 @@ def slugs(rows: DataFrame, key: str, label: str, taken: DataFrame | None = None,
     return b.join(first, key, "left").select(key, F.concat("base", tail).alias("slug"))
 
 
+def ordinals(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """`rows` with `ordinal`, from 1 in total order: ranges are sorted apart, and each begins where those before it end.
+
+    The ranges are written once, so that both passes see the same; `order` should leave no ties.
+    """
+    ranges = materialise(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__part").agg(F.count("*").alias("__size"))
+    # a row for each range, not for each of the table's
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    inside = ranges.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "__part").withColumn("ordinal", F.col("__before") + F.col("__n")).drop("__part", "__before", "__n")
+
+
 def stored_check(findings: DataFrame, order: list[Column], scope: str) -> DataFrame:
     """Findings with their ordinal and the hash of what was checked, for pages that stay as they were."""
-    first = Window.partitionBy("scope_hash").orderBy(*order)
-    return findings.withColumn("scope_hash", F.sha2(F.lit(scope), 256)).withColumn("ordinal", F.row_number().over(first))
+    return ordinals(findings, order).withColumn("scope_hash", F.sha2(F.lit(scope), 256)).withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+def latest_check(checks: DataFrame, status: str | None = None) -> DataFrame:
+    """The newest run of each (scope, check), of those with `status` if one is given; ties go to the larger id."""
+    kept = checks if status is None else checks.filter(F.col("status") == status)
+    newest = kept.groupBy("scope", "check").agg(F.max(F.struct("created_at", "id", "status")).alias("r"))
+    return newest.select("scope", "check", "r.id", "r.status", "r.created_at")
 
 
 def sample_texts(mentions: DataFrame, key: str, text: str, n: int = 3, length: int = 220) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwick.functions import places, udfs
+from tarnwick.functions import places, text, udfs
+from tarnwick.operators import catalog
 from tarnwick.operators import connections as k
 from tarnwick.operators import duplicates as d
 from tarnwick.operators import runs
@@ -51,10 +52,13 @@ def display_case(spark, sf_dir):
 
 
 @query(
-    "with e as (select s_suppkey as id, case s_suppkey % 3 when 0 then 'The River Museum ' || (s_suppkey // 6) when 1 then 'Museum River ' || (s_suppkey // 6) else 'Harbor Trust ' || s_suppkey end as label, s_suppkey // 6 as n, s_suppkey % 3 as kind from supplier)"
-    " select a.id as a, b.id as b, case when a.label = b.label then 1.0 else 0.95 end as score from e a join e b on a.n = b.n and a.id < b.id where a.kind < 2 and b.kind < 2"
+    "with e as (select s_suppkey as id, case s_suppkey % 3 when 0 then 'The River Museum ' || (s_suppkey // 6) when 1 then 'Museum River ' || (s_suppkey // 6) else 'Harbor Trust ' || s_suppkey end as label, s_suppkey // 6 as n, s_suppkey % 3 as kind from supplier),"
+    " r as (select min(id) as id, n, kind from e where kind < 2 group by n, kind)"
+    " select a.id as a, b.id as b, 0.95 as score from r a join r b using (n) where a.id < b.id"
+    " union all select r.id, e.id, 1.0 from e join r using (n, kind) where e.id > r.id"
 )
 def organization_duplicates(spark, sf_dir):
+    """Pairs between representatives of equal labels, and each other row with its representative."""
     rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "case s_suppkey % 3 when 0 then concat('The River Museum ', s_suppkey div 6) when 1 then concat('Museum River ', s_suppkey div 6) else concat('Harbor Trust ', s_suppkey) end as label")
     return d.organization_pairs(rows).select("a", "b", F.round("score", 6).alias("score"))
 
@@ -85,10 +89,11 @@ def auto_connections(spark, sf_dir):
     return k.valid(proposed, rules).select("article", "from_id", "to_id", F.round("confidence", 4).alias("confidence"), "quote")
 
 
-@query("select p_partkey as person, s_suppkey as organization from part, supplier where s_suppkey < 10 and list_contains(string_split(p_name, ' '), case when s_suppkey % 2 = 0 then 'widget' else 'bolt' end) and list_contains(string_split(p_name, ' '), case when s_suppkey % 3 = 0 then 'cold' else 'large' end)")
+@query("select c_custkey as person, s_suppkey as organization from customer join supplier on s_suppkey = c_custkey // 7 where c_custkey % 5 <> 0")
 def affiliation_edges(spark, sf_dir):
-    people = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("person"), F.concat(F.lit("head of "), "p_name").alias("affiliation"))
-    named = table(spark, sf_dir, "supplier").filter("s_suppkey < 10").selectExpr("s_suppkey as organization", "concat(case when s_suppkey % 2 = 0 then 'widget' else 'bolt' end, ', ', case when s_suppkey % 3 = 0 then 'cold' else 'large' end) as label")
+    """Customers whose affiliation holds all tokens of a supplier's name, among all suppliers."""
+    people = table(spark, sf_dir, "customer").selectExpr("c_custkey as person", "concat('agent of the ', case when c_custkey % 5 = 0 then 'Supplier' else concat('SUPPLIER ', lpad(cast(c_custkey div 7 as string), 9, '0')) end, ' office') as affiliation")
+    named = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as organization", "s_name as label")
     return k.affiliations(people, named)
 
 
@@ -173,18 +178,23 @@ def oldest_pending(spark, sf_dir):
 
 @query()
 def sequence_ratio(spark, sf_dir):
-    """Ratcliff-Obershelp has no SQL: names that begin alike, compared on Arrow batches."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    head = F.split_part("p_name", F.lit(" "), F.lit(1))
-    a, b = names.select(F.col("p_name").alias("a"), head.alias("head")), names.select(F.col("p_name").alias("b"), head.alias("head"))
-    return a.join(b, "head").filter("a < b").select("a", "b", F.round(udfs.sequence_ratio("a", "b"), 6).alias("ratio"))
+    """Ratcliff-Obershelp has no SQL: it ranks the near names of suppliers, which meet by their rare trigrams."""
+    near = catalog.near_pairs(table(spark, sf_dir, "supplier"), "s_name", F.lit("supplier"))
+    return near.select("a", "b", F.round(udfs.sequence_ratio("a", "b"), 6).alias("ratio"))
 
 
-@query()
+_KEY = "list_transform(range(1, 65), lambda i: coalesce(ascii(nullif(substr(secret, i, 1), '')), 0))"
+_PAD = "unhex(array_to_string(list_transform(k, lambda b: printf('%02x', xor(b, {0}))), ''))"
+
+
+@query(
+    f"with s as (select event_id, 's' || user_id as secret, cast(floor(epoch(ts)) as bigint) || '.' || props as body from events), k as (select event_id, body, {_KEY} as k from s)"
+    f" select event_id, sha256({_PAD.format(92)} || unhex(sha256({_PAD.format(54)} || encode(body)))) as signature from k"
+)
 def signed_deliveries(spark, sf_dir):
-    """HMAC has no SQL: each event's body signed with its user's secret."""
+    """Each event's body signed with its user's secret."""
     rows = table(spark, sf_dir, "events").withColumn("secret", F.concat(F.lit("s"), F.col("user_id").cast("string"))).withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"))
-    return rows.select("event_id", udfs.signature("secret", "at", "props").alias("signature"))
+    return rows.select("event_id", text.signature("secret", "at", "props").alias("signature"))
 
 
 @query("with d as (select doc_id, label, v.vec_id from documents join embeddings v on doc_id = v.vec_id where lang = 'en'), q as (select embedding e from embeddings where vec_id = 1) select d.doc_id, round(list_cosine_similarity(cast(embedding as double[]), cast(e as double[])), 5) as score from d join embeddings v on d.vec_id = v.vec_id, q order by score desc, d.doc_id desc limit 15")

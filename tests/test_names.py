@@ -3,7 +3,7 @@ import hmac
 
 from pyspark.sql import functions as F
 
-from tarnwick.functions import places, udfs
+from tarnwick.functions import places, text, udfs
 from tarnwick.operators import connections as k
 from tarnwick.operators import duplicates as d
 from tarnwick.operators import runs
@@ -27,15 +27,56 @@ def test_places(spark):
 def test_udfs(spark):
     assert one(spark, udfs.sequence_ratio("a", "b"), a="abcd", b="bcde") == 0.75 and one(spark, udfs.sequence_ratio("a", "b"), a="x", b="x") == 1.0
     assert one(spark, udfs.unmarked("a"), a="Ǻé①") == "Ae1"
-    assert one(spark, udfs.signature("a", "b", "c"), a="s", b="1", c="{}") == hmac.new(b"s", b"1.{}", hashlib.sha256).hexdigest()
+
+
+def test_signature(spark):
+    for key in ("s", "schlüssel", "k" * 64, "long " * 20):
+        assert one(spark, text.signature("a", "b", "c"), a=key, b="1", c='{"ä": 1}') == hmac.new(key.encode(), '1.{"ä": 1}'.encode(), hashlib.sha256).hexdigest()
+    assert one(spark, text.signature("a", "b", "c"), a="s", b="1", c=None) is None
 
 
 def test_organizations_and_dismissals(spark):
     rows = spark.createDataFrame([(1, "River City Museum"), (2, "The Museum, River City"), (3, "river city MUSEUM"), (4, "River School 12"), (5, "River School 13"), (6, "Bank")], "id long, label string")
-    pairs = d.organization_pairs(rows)
-    assert sorted((r.a, r.b) for r in pairs.collect()) == [(1, 2), (1, 3), (2, 3)]
+    # 1 stands for 3, whose label is equal
+    assert sorted((r.a, r.b) for r in d.organization_pairs(rows).collect()) == [(1, 2), (1, 3)]
     dismissed = spark.createDataFrame([("1|2",), ("2|3",)], "pair_key string")
+    pairs = d.organization_pairs(rows, dismissed)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(1, 2), (1, 3), (2, 3)]
     assert [(r.cluster, r.members) for r in d.clusters(pairs, dismissed).collect()] == [(1, "1,3")]
+    # a copy that editors keep apart from its representative stays tied to what they didn't dismiss
+    dismissed = spark.createDataFrame([("1|3",)], "pair_key string")
+    assert [(r.cluster, r.members) for r in d.clusters(d.organization_pairs(rows, dismissed), dismissed).collect()] == [(1, "1,2,3")]
+
+
+def test_no_key_is_too_frequent(spark):
+    """400 people of one family name, more than any block cap: pairs are those of brute force."""
+    given = ["Annemarie", "Annemaria", "Bartholomew", "Christopher", "Kristopher", "Maximilian", "Maximiliane", "Konstantin"]
+    names = [f"{g} {chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 7)}{chr(97 + i % 5)}quist Featherstonehaugh" for i in range(50) for g in given]
+    rows = spark.createDataFrame(list(enumerate(names)) + [(900, names[3].upper()), (901, None)], "id long, label string")
+    got = {(r.a, r.b) for r in d.person_pairs(rows).collect()}
+
+    def grams(x):
+        return {f"  {w} "[i : i + 3] for w in x.lower().split() for i in range(len(w) + 1)}
+
+    def score(x, y):
+        sets = [(grams(x), grams(y)), (set(x.lower().split()), set(y.lower().split()))]
+        return max(len(a & b) / len(a | b) for a, b in sets)
+
+    want = {(i, j) for j in range(400) for i in range(j) if names[i][0] == names[j][0] and score(names[i], names[j]) >= d.PERSON_SCORE}
+    assert len(want) > 10 and got == want | {(3, 900)}
+
+
+def test_cluster_order(spark):
+    found = spark.createDataFrame([(1, 2), (5, 3), (9, 2), (20, 2)], "cluster long, size long")
+    members = spark.createDataFrame([(1, 1, "Zoo"), (1, 2, "zoo "), (5, 5, "B"), (5, 6, "B c"), (5, 7, None), (9, 9, "Alm"), (9, 10, "ALM"), (20, 20, "a"), (20, 21, "c")], "cluster long, id long, label string")
+    got = d.ordered(found, members).orderBy("ordinal").collect()
+    assert [(r.cluster, r.exact, r.label) for r in got] == [(9, True, "alm"), (1, True, "zoo"), (5, False, "b"), (20, False, "a")]
+
+
+def test_latest_check(spark):
+    rows = spark.createDataFrame([(1, "s", "c", 5, "done"), (2, "s", "c", 7, "failed"), (3, "s", "c", 7, "done"), (4, "t", "c", 1, "failed")], "id long, scope string, check string, created_at long, status string")
+    assert sorted((r.scope, r.id) for r in runs.latest_check(rows).collect()) == [("s", 3), ("t", 4)]
+    assert [(r.scope, r.id) for r in runs.latest_check(rows, "failed").orderBy("scope").collect()] == [("s", 2), ("t", 4)]
 
 
 def test_connections(spark):
