@@ -101,6 +101,54 @@ def per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
+def resolved(params: dict) -> dict:
+    """Parameters of a list request with what they imply: a section is a category of the type topic, and the order is
+    relevance where there is a query, else the date; descending unless said."""
+    q, section = (params.get("q") or "").strip(), (params.get("section") or "").strip()
+    out = params | {"sort": params.get("sort") or ("relevance" if q else "pub_date"), "direction": params.get("direction") or "desc", "section": None}
+    return out | {"meta_type": "topic", "meta_category": section} if section else out
+
+
+def listed(articles: DataFrame, meta: DataFrame, key: str, date: str, params: dict, *columns: str) -> DataFrame:
+    """Articles of a request: metadata and query as filters, then the order and one page of `limit` rows (20).
+
+    Articles without a date come last when descending and first when ascending; ties go by the key, in the same direction.
+    """
+    p = resolved(params)
+    q, down = (p.get("q") or "").strip(), p["direction"] == "desc"
+    if p.get("meta_type"):
+        articles = meta_clauses(articles, meta, key, [(False, p["meta_type"], [p["meta_category"]] if p.get("meta_category") else [])])
+    if q:
+        articles = keyword(articles, q, *columns)
+    by = search.term_rank(q, F.concat_ws(" ", *columns)) if p["sort"] == "relevance" and q else F.col(date)
+    order = [F.desc_nulls_last("__by"), F.desc(key)] if down else [F.asc_nulls_first("__by"), F.asc(key)]
+    return page(articles.withColumn("__by", by), order, p.get("limit", 20), p.get("offset", 0)).drop("__by")
+
+
+def canonical_list(canonicals: DataFrame, aliases: DataFrame, mentions: DataFrame, *, part: str = "", kind: str | None = None, natures: list[str] | None = None, projects: list[int] | None = None, least: int = 0) -> DataFrame:
+    """Canonicals (id, label, kind) whose label or any alias (canonical, alias) holds `part`, of one kind, mentioned in one of the
+    natures, and at least `least` times, both counted over `projects` alone where given (mentions: canonical, nature, project)."""
+    if kind:
+        canonicals = canonicals.filter(F.col("kind") == kind)
+    if part.strip():
+        hit = lambda c: F.contains(F.lower(c), F.lit(part.strip().lower()))
+        by_alias = aliases.filter(hit("alias")).select(F.col("canonical").alias("id")).distinct().withColumn("__hit", F.lit(True))
+        canonicals = canonicals.join(by_alias, "id", "left").filter(hit("label") | F.col("__hit")).drop("__hit")
+    counted = mentions if projects is None else mentions.filter(F.col("project").isin(projects))
+    counted = counted.withColumnRenamed("canonical", "id")
+    if natures:
+        canonicals = canonicals.join(of_natures(counted, natures).select("id"), "id", "left_semi")
+    if least > 0:
+        canonicals = canonicals.join(counted.groupBy("id").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least), "id", "left_semi")
+    return canonicals
+
+
+def first_seen(items: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """(keys, value, place): each value of a group once, in the order in which it first came; nulls don't count."""
+    first = items.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("__first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__first", value))).drop("__first")
+
+
 def keyword_rank(label: str, query: str) -> list[Column]:
     """Order of name matches: equal, then begins with, then the rest; shorter first, then by name."""
     norm, q = text.normalize_text(label), query.strip().lower()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnwick.functions import geo, text
 from tarnwick.operators.articles import per_group
@@ -29,6 +30,13 @@ def subsumed(edges: DataFrame, weaker: DataFrame) -> DataFrame:
     return edges.join(implied.distinct(), [*ends, "nature"], "left_anti")
 
 
+def in_order(connections: DataFrame, node: str, limit: int) -> DataFrame:
+    """(node, other_type, other_id, label) with `place`: the first `limit` connections of each node by the other end's label, type and id."""
+    order = [F.lower("label"), F.col("other_type"), F.col("other_id")]
+    first = per_group(connections, [node], order, limit)
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(node).orderBy(*order)))
+
+
 def affiliations(people: DataFrame, organizations: DataFrame) -> DataFrame:
     """(person, organization): an affiliation text that holds all of an organization's tokens, of which there are two at least.
 

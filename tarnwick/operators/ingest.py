@@ -83,6 +83,39 @@ def overlay(base: DataFrame, edits: DataFrame, key: str, columns: list[str]) ->
     return rest.unionByName(edits.filter("op = 'add'").select(key, *columns))
 
 
+def persist_values(stored: DataFrame, batch: DataFrame, keys: list[str], policy: str) -> DataFrame:
+    """`keys`, value, confidence and `action` after a batch of single values (metadata or embeddings): one row for each key.
+
+    add_only keeps what is there; smart_merge takes the new value unless an editor touched the row (`stored`: edited);
+    replace takes it always. A batch that brings a key twice counts by its surest value, then the smallest.
+    """
+    if policy not in ("add_only", "smart_merge", "replace"):
+        raise ValueError(policy)
+    best = latest(batch, keys, [F.desc_nulls_last("confidence"), F.col("value")])
+    o = stored.select(*keys, *(F.col(c).alias(f"__{c}") for c in ("value", "confidence", "edited")), F.lit(True).alias("__old"))
+    both = o.join(best.select(*keys, "value", "confidence", F.lit(True).alias("__new")), keys, "full_outer")
+    old, new = F.col("__old").isNotNull(), F.col("__new").isNotNull()
+    fixed = {"add_only": old, "smart_merge": old & F.coalesce("__edited", F.lit(False)), "replace": F.lit(False)}[policy]
+    stays = ~new | fixed
+    same = F.col("value").eqNullSafe(F.col("__value")) & F.col("confidence").eqNullSafe(F.col("__confidence"))
+    action = F.when(~old, "inserted").when(~new, "kept").when(fixed, "skipped").when(same, "unchanged").otherwise("changed")
+    taken = lambda c: F.when(old & stays, F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
+    return both.select(*keys, taken("value"), taken("confidence"), action.alias("action"))
+
+
+def persist_sets(stored: DataFrame, batch: DataFrame, keys: list[str], index: str, policy: str) -> DataFrame:
+    """All rows after a batch of whole sets (custom records by article and type, images of an article): a set that the batch brings
+    replaces the stored one, unless add_only finds one there. Sets that it doesn't bring stay. Of rows with one index the first by
+    their other columns counts."""
+    if policy not in ("add_only", "replace"):
+        raise ValueError(policy)
+    rest = sorted(c for c in batch.columns if c not in (*keys, index))
+    new = latest(batch, [*keys, index], [F.col(c) for c in rest])
+    if policy == "add_only":
+        return stored.unionByName(new.join(stored.select(*keys), keys, "left_anti"))
+    return stored.join(batch.select(*keys), keys, "left_anti").unionByName(new)
+
+
 def hash_diff(stored: DataFrame, built: DataFrame, key: str) -> DataFrame:
     """(key, action): create, update, unchanged, reactivate or deactivate, by the hash of what is indexed.
 

@@ -55,27 +55,37 @@ def csv_list(spark, sf_dir):
     return documents.csv_list(spark, path, {"c_custkey": "long", "c_name": "string", "c_nationkey": "int", "missing": "double"})
 
 
-@query("select n_name, r_name, cast(0 as bigint) as damaged from nation join region on n_regionkey = r_regionkey")
+@query("select o_orderkey, c_name, cast(0 as bigint) as damaged from orders join customer on o_custkey = c_custkey")
 def bundle_round_trip(spark, sf_dir):
     """Two tables exported with a manifest, read again with new ids, and joined by them."""
     path = _folder(spark)
-    outputs.export_bundle({"nation": table(spark, sf_dir, "nation"), "region": table(spark, sf_dir, "region")}, path)
-    bad = outputs.damaged(spark, path, ["nation", "region"]).agg(F.count("*").alias("damaged"))
-    nation, region = spark.read.json(f"{path}/nation"), spark.read.json(f"{path}/region")
-    ids = documents.fresh_ids(region, F.col("r_regionkey"), "import")
-    nation = documents.remapped(nation.withColumnRenamed("n_regionkey", "r_regionkey"), ids, "r_regionkey")
-    region = documents.remapped(region, ids, "r_regionkey")
-    return nation.join(region, "r_regionkey").select("n_name", "r_name").join(F.broadcast(bad), how="cross")
+    orders, customer = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    outputs.export_bundle({"orders": orders, "customer": customer}, path)
+    bad = outputs.damaged(spark, path, ["orders", "customer"]).agg(F.count("*").alias("damaged"))
+    orders, customer = (spark.read.schema(df.schema).json(f"{path}/{name}") for df, name in ((orders, "orders"), (customer, "customer")))
+    customer = customer.withColumnRenamed("c_custkey", "o_custkey")
+    ids = documents.fresh_ids(customer, F.col("o_custkey"), "import")
+    orders, customer = documents.remapped(orders, ids, "o_custkey"), documents.remapped(customer, ids, "o_custkey")
+    return orders.join(customer, "o_custkey").select("o_orderkey", "c_name").join(F.broadcast(bad), how="cross")
 
 
-@query("select cast(n_regionkey as integer) as n_regionkey, cast(count(*) as bigint) as nations, cast(max(case when n_regionkey = 2 then 1 else 0 end) as bigint) as version from nation group by 1")
+@query("select o_orderpriority, cast(count(*) as bigint) as orders, cast(max(case when o_orderpriority = '2-HIGH' then 1 else 0 end) as bigint) as version from orders where o_orderpriority <> '2-HIGH' or o_orderstatus = 'F' group by 1")
 def replace_partitions(spark, sf_dir):
+    """All orders by priority, then one priority written anew with fewer."""
     path = _folder(spark)
-    nation = table(spark, sf_dir, "nation").select("n_name", "n_regionkey").withColumn("version", F.lit(0).cast("long"))
-    outputs.replace_partitions(nation, path, "n_regionkey")
-    outputs.replace_partitions(nation.filter("n_regionkey = 2").withColumn("version", F.lit(1).cast("long")), path, "n_regionkey")
-    rows = spark.read.parquet(path)
-    return rows.groupBy(F.col("n_regionkey").cast("int").alias("n_regionkey")).agg(F.count("*").alias("nations"), F.max("version").alias("version"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").withColumn("version", F.lit(0).cast("long"))
+    outputs.replace_partitions(orders, path, "o_orderpriority")
+    outputs.replace_partitions(orders.filter("o_orderpriority = '2-HIGH' and o_orderstatus = 'F'").withColumn("version", F.lit(1).cast("long")), path, "o_orderpriority")
+    return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.max("version").alias("version"))
+
+
+def _arrivals(spark, sf_dir):
+    """The events as a stream of several micro-batches: four writes, each with a part of every hour, so old rows come after new ones."""
+    path = _folder(spark)
+    events = table(spark, sf_dir, "events")
+    for part in (2, 0, 3, 1):
+        events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == part).write.mode("append").parquet(f"{path}/events.parquet")
+    return stream.read(spark, path)
 
 
 @query("select time_bucket(interval '1 day', ts) as start, event_type, cast(count(*) as bigint) as events, round(sum(value), 4) as value from events group by 1, 2")
@@ -86,13 +96,13 @@ def stream_rollup(spark, sf_dir):
 
 @query("select user_id, event_type, cast(1 as bigint) as kept from events group by 1, 2")
 def stream_coalesce(spark, sf_dir):
-    rows = stream.run_to_end(stream.coalesced(stream.read(spark, sf_dir), ["user_id", "event_type"], late="60 days"))
+    rows = stream.run_to_end(stream.coalesced(_arrivals(spark, sf_dir), ["user_id", "event_type"], late="60 days"))
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
 
 
 @query("with e as (select user_id, ts, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) < 86400000000 then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts) as s from e) select user_id, min(ts) as start, cast(count(*) as bigint) as events from s group by user_id, s")
 def stream_sessions(spark, sf_dir):
-    rows = stream.run_to_end(stream.sessions(stream.read(spark, sf_dir), "1 day", ["user_id"]), "complete")
+    rows = stream.run_to_end(stream.sessions(_arrivals(spark, sf_dir), "1 day", ["user_id"], late="60 days"), "complete")
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events")
 
 
@@ -107,9 +117,9 @@ def stream_fanout(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     """The log merged into one row for each user, micro-batch by micro-batch."""
     path = _folder(spark)
-    rows = stream.read(spark, sf_dir)
+    rows = _arrivals(spark, sf_dir)
     merge = stream.merge_each(f"{path}/table", "user_id", ["event_type", "value"])
     q = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{path}/table/v{last}")
+    return spark.read.parquet(f"{path}/table/v{last}").select("user_id", "event_type", "value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwick.operators import articles as a
+from tarnwick.operators import connections as k
 from tarnwick.operators import mentions as m
 from tarnwick.queries import query
 from tarnwick.session import table
@@ -106,12 +107,33 @@ def recent_activity_sort(spark, sf_dir):
     return m.recent_activity(entities, children, "c_custkey").select("c_custkey", "active_at")
 
 
-@query("with e as (select 'nation' as from_type, n_nationkey as from_id, 'region' as to_type, n_regionkey as to_id from nation union all select 'region', n_regionkey, 'nation', n_nationkey from nation) select from_type, from_id, to_type, to_id, case when from_type = 'region' and from_id = 1 then to_type else from_type end as other_type, case when from_type = 'region' and from_id = 1 then to_id else from_id end as other_id from e where (from_type = 'region' and from_id = 1) or (to_type = 'region' and to_id = 1)")
+@query(
+    "with p as (select distinct o_custkey as c, l_suppkey as s from orders join lineitem on o_orderkey = l_orderkey), e as (select 'customer' as from_type, c as from_id, 'supplier' as to_type, s as to_id from p where (c + s) % 2 = 0 union all select 'supplier', s, 'customer', c from p where (c + s) % 2 = 1)"
+    " select from_type, from_id, to_type, to_id, case when from_type = 'supplier' and from_id = 1 then to_type else from_type end as other_type, case when from_type = 'supplier' and from_id = 1 then to_id else from_id end as other_id from e where (from_type = 'supplier' and from_id = 1) or (to_type = 'supplier' and to_id = 1)"
+)
 def edges_bidirectional(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    edge = lambda a_, b_, x, y: nation.select(F.lit(a_).alias("from_type"), F.col(x).alias("from_id"), F.lit(b_).alias("to_type"), F.col(y).alias("to_id"))
-    edges = edge("nation", "region", "n_nationkey", "n_regionkey").unionByName(edge("region", "nation", "n_regionkey", "n_nationkey"))
-    return m.both_ways(edges, "region", 1)
+    """Edges between customers and suppliers that trade, half of them in each direction, around one supplier."""
+    return m.both_ways(_trade(spark, sf_dir), "supplier", 1)
+
+
+def _trade(spark, sf_dir):
+    pairs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).distinct()
+    ahead = pairs.filter("(c + s) % 2 = 0").selectExpr("'customer' as from_type", "c as from_id", "'supplier' as to_type", "s as to_id")
+    return ahead.unionByName(pairs.filter("(c + s) % 2 = 1").selectExpr("'supplier' as from_type", "s as from_id", "'customer' as to_type", "c as to_id"))
+
+
+@query(
+    "with p as (select distinct o_custkey as c, l_suppkey as s from orders join lineitem on o_orderkey = l_orderkey), j as (select s_suppkey, c_custkey, lower(c_name) as label, row_number() over (partition by s_suppkey order by lower(c_name), c_custkey) as place from p join customer on c_custkey = c join supplier on s_suppkey = s)"
+    " select s_suppkey, c_custkey, cast(place as integer) as place from j where place <= 10"
+)
+def connections_in_order(spark, sf_dir):
+    """The first ten connections of each supplier by the label of the other end."""
+    e = _trade(spark, sf_dir)
+    out = e.filter("from_type = 'supplier'").selectExpr("from_id as node", "to_id as other_id", "to_type as other_type")
+    both = out.unionByName(e.filter("to_type = 'supplier'").selectExpr("to_id as node", "from_id as other_id", "from_type as other_type"))
+    labels = table(spark, sf_dir, "customer").selectExpr("'customer' as other_type", "c_custkey as other_id", "c_name as label")
+    rows = k.in_order(both.join(labels, ["other_type", "other_id"]), "node", 10)
+    return rows.select(F.col("node").alias("s_suppkey"), F.col("other_id").alias("c_custkey"), "place")
 
 
 @query(

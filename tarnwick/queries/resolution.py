@@ -73,22 +73,67 @@ def type_gate(spark, sf_dir):
     return r.allowed_types(pairs, denied)
 
 
-@query(
-    f"with {_NAMES}, {_RECALL}, c as (select id, canonical, recall_rank, similarity as raw, canonical % 9 = id % 9 as allowed, canonical = id and id % 20 = 3 as exact, case when canonical % 4 = 1 then least(similarity, 0.279) else similarity end as score from recall where recall_rank <= 24),"
-    " w as (select *, row_number() over (partition by id order by score desc, recall_rank desc, canonical) as n, count(*) filter (exact and allowed) over (partition by id) as exacts, max(case when exact and allowed then canonical end) over (partition by id) as exact_one,"
+_LADDER = (
+    "w as (select *, row_number() over (partition by id order by score desc, recall_rank desc, canonical) as n, count(*) filter (exact and allowed) over (partition by id) as exacts, max(case when exact and allowed then canonical end) over (partition by id) as exact_one,"
     " count(*) filter (score >= 0.9) over (partition by id) as autolinks, max(case when allowed then score end) over (partition by id) as best_allowed, max(raw) over (partition by id) as best_raw from c),"
-    " d as (select names.id, exacts, exact_one, canonical, case when names.id % 50 = 3 then 'DEFER' when exacts > 1 then 'DEFER' when exacts = 1 then 'LINK' when score >= 0.9 and autolinks = 1 and allowed then 'LINK' when score >= 0.28 and coalesce(best_allowed, 0) < 0.28 and names.id % 40 <> 13 then 'MATERIALIZE'"
-    " when score >= 0.28 then 'DEFER' when best_raw >= 0.28 then 'DEFER' when names.id % 40 <> 13 then 'MATERIALIZE' else 'DEFER' end as decision from names left join (select * from w where n = 1) w on names.id = w.id)"
+    " d as (select m.id, exacts, exact_one, canonical, case when private then 'DEFER' when exacts > 1 then 'DEFER' when exacts = 1 then 'LINK' when score >= 0.9 and autolinks = 1 and allowed then 'LINK' when score >= 0.28 and coalesce(best_allowed, 0) < 0.28 and materializable then 'MATERIALIZE'"
+    " when score >= 0.28 then 'DEFER' when best_raw >= 0.28 then 'DEFER' when materializable then 'MATERIALIZE' else 'DEFER' end as decision from m left join (select * from w where n = 1) w on m.id = w.id)"
     " select id, decision, case when decision = 'LINK' then case when exacts = 1 then exact_one else canonical end end as canonical from d"
 )
+
+
+@query(
+    "with k as (select l_orderkey as id, l_suppkey as canonical, min(l_linenumber) as recall_rank, max(l_quantity) / 50 as raw from lineitem group by 1, 2),"
+    " c as (select *, canonical % 3 <> id % 3 as allowed, raw >= 0.96 as exact, case when canonical % 4 = 1 then least(raw, 0.279) else raw end as score from k),"
+    f" m as (select o_orderkey as id, o_orderpriority = '5-LOW' as private, o_orderstatus <> 'P' as materializable from orders), {_LADDER}"
+)
 def decision_ladder(spark, sf_dir):
-    found = _recall(spark, sf_dir)
-    c = found.withColumn("raw", F.col("similarity")).withColumn("allowed", F.col("canonical") % 9 == F.col("id") % 9)
-    c = c.withColumn("exact", (F.col("canonical") == F.col("id")) & (F.col("id") % 20 == 3)).withColumn("score", r.gated(F.col("similarity"), F.col("canonical") % 4 == 1))
-    names = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50 == 3).alias("private"), (F.col("c_custkey") % 40 != 13).alias("materializable"))
+    """Every order decided among the suppliers of its lines, with the quantity as likeness."""
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("canonical")).agg(F.min("l_linenumber").alias("recall_rank"), (F.max("l_quantity") / 50).alias("raw"))
+    c = found.withColumn("allowed", F.col("canonical") % 3 != F.col("id") % 3).withColumn("exact", F.col("raw") >= 0.96)
+    c = c.withColumn("score", r.gated(F.col("raw"), F.col("canonical") % 4 == 1))
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderpriority") == "5-LOW").alias("private"), (F.col("o_orderstatus") != "P").alias("materializable"))
+    return r.decide(c, names, "id")
+
+
+@query(
+    f"with {_NAMES}, {_RECALL}, c as (select id, canonical, recall_rank, similarity as raw, canonical % 9 = id // 50 % 9 as allowed, canonical = id // 50 and id // 50 % 5 = 2 as exact, case when canonical % 4 = 1 then least(similarity, 0.279) else similarity end as score from recall where recall_rank <= 24),"
+    f" m as (select id, id // 50 % 10 = 3 as private, id // 50 % 4 <> 1 as materializable from names), {_LADDER}"
+)
+def recalled_decisions(spark, sf_dir):
+    """Names of the query set recalled among all aliases, gated and decided."""
+    nth = F.expr("id div 50")
+    c = _recall(spark, sf_dir).withColumn("raw", F.col("similarity")).withColumn("allowed", F.col("canonical") % 9 == nth % 9)
+    c = c.withColumn("exact", (F.col("canonical") == nth) & (nth % 5 == 2)).withColumn("score", r.gated(F.col("similarity"), F.col("canonical") % 4 == 1))
+    names = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id")).select("id", (nth % 10 == 3).alias("private"), (nth % 4 != 1).alias("materializable"))
     return r.decide(c, names, "id")
 
 
+_SPOT = "case p_partkey % 5 when 0 then 'North ' || p_name || ', Boston, MA' when 1 then 'South ' || p_name || ', Boston, MA' when 2 then 'Ward ' || p_size || ', Paris' when 3 then p_name || ' Hall, Chicago, IL' else p_name end"
+_KNOWN = "case p_partkey % 5 when 0 then 'North ' || p_name || ', Boston, Massachusetts' when 1 then 'North ' || p_name || ', Boston, MA' when 2 then 'Ward ' || (p_size + p_partkey // 5 % 2) || ', Paris' when 3 then p_name || ' Hall, Boston, MA' else p_name end"
+
+
+@query("select p_partkey, cast(case p_partkey % 5 when 1 then 1 when 2 then p_partkey // 5 % 2 when 3 then 1 else 0 end as boolean) as vetoed from part")
+def recall_gates(spark, sf_dir):
+    """Places whose compass words, districts or jurisdictions contradict a recalled label."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_SPOT} as name", f"{_KNOWN.replace('//', 'div')} as label")
+    return rows.select("p_partkey", r.place_veto("name", "label").alias("vetoed"))
+
+
+@query(
+    "with n as (select distinct p_name as a from part), f as (select min(p_name) as b from part),"
+    f" p as (select a, b, {_GRAMS.format('a')} as g, {_GRAMS.format('b')} as h from n, f), s as (select a, len(list_intersect(g, h)) / cast(len(list_distinct(list_concat(g, h))) as double) as similarity, a = b as same, split_part(a, ' ', 1) = split_part(b, ' ', 1) as head from p)"
+    " select a, round(case when same then 1.0 when head then greatest(0.85, similarity) else similarity end, 6) as score from s"
+)
+def location_score(spark, sf_dir):
+    """Names against one label: equal, then a shared head word, then trigrams."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_name").alias("a")).distinct().join(F.broadcast(part.agg(F.min("p_name").alias("b"))), how="cross")
+    head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    same, never = text.normalize_text("a") == text.normalize_text("b"), F.lit(False)
+    return rows.select("a", F.round(r.location_score(text.trigram_similarity("a", "b"), same, same, never, head("a") == head("b")), 6).alias("score"))
+
+
 @query(
     "with e as (select a.c_custkey as id, b.c_custkey as canonical from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey <> b.c_custkey where a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1 and a.c_acctbal > 5000),"
     " r as (select a.c_custkey as id, cast(count(*) as bigint) as n from customer a join customer b on a.c_nationkey = b.c_nationkey where a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1 and 20 * cast(a.c_mktsegment = b.c_mktsegment as integer) + b.c_custkey % 30 >= 45 group by 1), x as (select id, count(distinct canonical) as exacts, min(canonical) as one from e group by 1)"

@@ -59,7 +59,7 @@ def release(*frames: DataFrame) -> None:
         path = getattr(df, "_scratch", None)
         if path in _written:
             _written.remove(path)
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def scratch() -> frozenset[str]:
@@ -72,10 +72,11 @@ def release_since(spark: SparkSession, before: frozenset[str], *keep: DataFrame)
     kept = {getattr(df, "_scratch", None) for df in keep}
     for path in [p for p in _written if p not in before and p not in kept]:
         _written.remove(path)
-        _delete(spark, path)
+        delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder of any Hadoop file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -84,5 +85,5 @@ def clear_scratch(spark: SparkSession) -> int:
     """Deletes the tables that `materialise` wrote in this process, when no frame that reads them is needed any more."""
     gone = 0
     while _written:
-        gone += int(_delete(spark, _written.pop()))
+        gone += int(delete(spark, _written.pop()))
     return gone

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.operators import ingest, operations
-from tarnwick.session import shared_dir
+from tarnwick.session import delete, shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str = "events", files_per_trigger: int = 1) -> DataFrame:
     """The table as a stream of files; times without zone count as UTC, so that watermarks hold."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}.parquet*")
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
@@ -57,14 +57,19 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def merge_each(path: str, key: str, overwrite: list[str], keep_if_null: list[str] = (), order: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merges each micro-batch into a table by key. The table is versions side by side, named by batch,
-    so a batch that is run again after a failure writes its own version anew from the one before."""
+    """For foreachBatch: merges each micro-batch into a table by key, where a row of a smaller `order` than the stored one changes
+    nothing, however late it comes. The table is versions side by side, named by batch: a batch that is run again after a
+    failure writes its own version anew from the one before, and the one before that is deleted."""
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        last = ingest.latest(batch, [key], [F.desc(order)]).select(key, *overwrite, *keep_if_null)
+        last = ingest.latest(batch, [key], [F.desc(order)]).select(key, *overwrite, *keep_if_null, order)
         if n:
-            last = ingest.upsert(spark.read.parquet(f"{path}/v{n - 1}"), last, key, overwrite, list(keep_if_null)).drop("action")
+            stored = spark.read.parquet(f"{path}/v{n - 1}")
+            newer = last.join(stored.select(key, F.col(order).alias("__order")), key, "left").filter(F.col("__order").isNull() | (F.col(order) > F.col("__order"))).drop("__order")
+            last = ingest.upsert(stored, newer, key, [*overwrite, order], list(keep_if_null)).drop("action")
         last.write.mode("overwrite").parquet(f"{path}/v{n}")
+        if n > 1:
+            delete(spark, f"{path}/v{n - 2}")
 
     return merge

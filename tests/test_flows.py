@@ -56,3 +56,7 @@ def test_merge_runs_again_after_a_failure(spark, tmp_path):
     for _ in range(2):
         merge(batch([(4, "b", "4"), (5, "c", "5")]), 1)
     assert {r.k: r.v for r in spark.read.parquet(f"file://{tmp_path}/t/v1").collect()} == {"a": "2", "b": "4", "c": "5"}
+    # a row older than the stored one changes nothing, and only the last two versions stay
+    merge(batch([(2, "b", "2"), (6, "a", "6")]), 2)
+    assert {r.k: r.v for r in spark.read.parquet(f"file://{tmp_path}/t/v2").collect()} == {"a": "6", "b": "4", "c": "5"}
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v1", "v2"]

@@ -203,3 +203,52 @@ def test_source_files(spark):
     paths = ["in/2024-03-05/a-story-abcdefghij-0123456789.json", "a-abcdefghij-0123456789-output.json", "plain.json", None]
     rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "id long, p string").select("id", documents.source_file_parts("p").alias("x")).orderBy("id").collect()
     assert [tuple(r.x) for r in rows] == [("2024-03-05", "abcdefghij", "0123456789"), (None, None, "0123456789"), (None, None, None), (None, None, None)]
+
+
+def test_resolved_parameters():
+    assert a.resolved({"section": " Sports "}) == {"section": None, "sort": "pub_date", "direction": "desc", "meta_type": "topic", "meta_category": "Sports"}
+    assert a.resolved({"q": "x", "meta_type": "tag"})["sort"] == "relevance" and a.resolved({"q": "x", "sort": "pub_date"})["sort"] == "pub_date"
+
+
+def test_canonical_list_by_alias_and_project(spark):
+    canonicals = spark.createDataFrame([(1, "City Hall", "x"), (2, "Museum", "x"), (3, "100% Hall", "y")], "id long, label string, kind string")
+    aliases = spark.createDataFrame([(2, "The HALL of art"), (2, "Hall 2")], "canonical long, alias string")
+    mentions = spark.createDataFrame([(1, "n", 1), (1, "n", 2), (2, "m", 1), (2, None, 1)], "canonical long, nature string, project long")
+    ids = lambda **k: sorted(r.id for r in a.canonical_list(canonicals, aliases, mentions, **k).collect())
+    assert ids(part="hall") == [1, 2, 3] and ids(part="% h") == [3] and ids(part="hall", kind="x", natures=["m"]) == [2]
+    assert ids(least=2) == [1, 2] and ids(least=2, projects=[1]) == [2] and ids() == [1, 2, 3]
+
+
+def test_first_seen(spark):
+    rows = spark.createDataFrame([("g", "b", 2), ("g", "a", 3), ("g", "b", 1), ("g", None, 0), ("h", "a", 9)], "k string, v string, n long")
+    assert sorted((r.k, r.place, r.v) for r in a.first_seen(rows, ["k"], "v", ["n"]).collect()) == [("g", 1, "b"), ("g", 2, "a"), ("h", 1, "a")]
+
+
+def test_persists(spark):
+    stored = spark.createDataFrame([(1, "old", 0.5, True), (2, "old", 0.5, False), (3, "old", 0.5, None), (4, "old", None, False)], "k long, value string, confidence double, edited boolean")
+    batch = spark.createDataFrame([(1, "new", 0.9), (2, "low", 0.1), (2, "new", 0.9), (4, "old", None), (5, "new", None)], "k long, value string, confidence double")
+    got = lambda p: {r.k: (r.value, r.action) for r in i.persist_values(stored, batch, ["k"], p).collect()}
+    assert got("smart_merge") == {1: ("old", "skipped"), 2: ("new", "changed"), 3: ("old", "kept"), 4: ("old", "unchanged"), 5: ("new", "inserted")}
+    assert got("add_only")[2] == ("old", "skipped") and got("replace")[1] == ("new", "changed")
+    with pytest.raises(ValueError):
+        i.persist_values(stored, batch, ["k"], "other")
+    sets = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "k long, n long, v string")
+    new = spark.createDataFrame([(1, 0, "z"), (1, 0, "y"), (3, 0, "d")], "k long, n long, v string")
+    rows = lambda p: sorted(tuple(r) for r in i.persist_sets(sets, new, ["k"], "n", p).collect())
+    assert rows("replace") == [(1, 0, "y"), (2, 0, "c"), (3, 0, "d")]
+    assert rows("add_only") == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d")]
+
+
+def test_ordinals(spark):
+    from tarnwick.operators import runs
+
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "id").repartition(7)
+    got = runs.ordinals(rows, [F.desc("k")]).collect()
+    assert len(got) == 1000 and all(r.ordinal == 1000 - r.k for r in got)
+
+
+def test_questionable_people(spark):
+    people = spark.createDataFrame([(1, "Anna Smith", None), (2, "acme  co", "business_professional"), (3, "WBEZ", None), (4, "Health", "x"), (5, None, "x"), (6, "Grouper Banks", None)], "id long, label string, kind string")
+    organizations = spark.createDataFrame([("ACME Co", "Company")], "label string, kind string")
+    got = {r.id: (r.score, r.confidence, r.suggested) for r in c.questionable_people(people, organizations).collect()}
+    assert got == {2: (8, "high", "organization"), 3: (5, "medium", "unknown"), 4: (4, "medium", "organization")}
