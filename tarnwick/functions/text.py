@@ -137,9 +137,12 @@ def signature(secret: str | Column, timestamp: str | Column, body: str | Column)
     digits = F.when(F.length(raw) > 64, F.sha2(raw, 256)).otherwise(F.lower(F.hex(raw)))
     key = F.rpad(digits, 128, "0")
 
+    # eight numbers of eight bytes each, signed as Spark's longs are
+    numbers = [F.conv(F.substring(key, at, 16), 16, -10).cast("long") for at in range(1, 129, 16)]
+
     def padded(byte: int) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.lit(127), F.lit(2)), lambda i: F.conv(F.substring(key, i, F.lit(2)), 16, 10).cast("int"))
-        return F.unhex(F.array_join(F.transform(pairs, lambda b: F.lpad(F.hex(b.bitwiseXOR(F.lit(byte))), 2, "0")), ""))
+        mask = F.lit(int.from_bytes(bytes([byte]) * 8, "big"))
+        return F.unhex(F.concat(*(F.lpad(F.hex(n.bitwiseXOR(mask)), 16, "0") for n in numbers)))
 
     message = F.encode(F.concat(_c(timestamp), F.lit("."), _c(body)), "UTF-8")
     inner = F.unhex(F.sha2(F.concat(padded(0x36), message), 256))
