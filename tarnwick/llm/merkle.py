@@ -240,7 +240,7 @@ OP12_SQL = f"""
 with recursive leaf as (
   select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, row_number() over () as r,
     case when doc_id is not null and n_chars is not null and {_SQL_CRC} % 7 = 0 then changed else leaf end as start
-  from (select *, {_sql_leaf("n_chars")} as leaf, {_sql_leaf("(n_chars + 1)")} as changed from documents)
+  from (select doc_id, lang, n_chars, {_sql_leaf("n_chars")} as leaf, {_sql_leaf("(n_chars + 1)")} as changed from documents)
 ), tree(lvl, lang, pos, h) as (
   select 0, lang, pos, leaf from leaf
   union all

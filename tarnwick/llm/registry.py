@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, html_text, licenses, lm, merkle, mixing, near_dup, quality, substring_dup, topk, toxicity
+from tarnwick.llm import decontaminate, html_text, lexical, licenses, lm, merkle, mixing, near_dup, quality, substring_dup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dup": substring_dup.op8_substring_dup,
     "op9_licenses": licenses.op9_licenses,
     "op10_html_text": html_text.op10_html_text,
+    "op11_lexical": lexical.op11_lexical,
     "op12_manifest": merkle.op12_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_topk": topk.OP7_SQL,
     "op8_substring_dup": substring_dup.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
+    "op11_lexical": lexical.OP11_SQL,
     "op12_manifest": merkle.OP12_SQL,
 }
