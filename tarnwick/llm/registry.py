@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, html_text, lexical, licenses, lm, merkle, mixing, near_dup, quality, substring_dup, topk, toxicity
+from tarnwick.llm import decontaminate, html_text, jaccard_join, lexical, licenses, lm, merkle, mixing, near_dup, quality, substring_dup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op10_html_text": html_text.op10_html_text,
     "op11_lexical": lexical.op11_lexical,
     "op12_manifest": merkle.op12_manifest,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixture": mixing.OP1_SQL,
@@ -32,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_licenses": licenses.OP9_SQL,
     "op11_lexical": lexical.OP11_SQL,
     "op12_manifest": merkle.OP12_SQL,
+    "op13_jaccard_join": jaccard_join.OP13_SQL,
 }
