@@ -12,8 +12,8 @@ Equal sets are collapsed before. Then, for each prefix shingle that several sets
 
 1. every set meets the first of them: as many pairs as sets, whatever the group. What is verified
    links a dense group of near copies into one component;
-2. only pairs of different components are left. Where at most `SMALL` sets hold the shingle they are formed,
-   counted over all shared prefix shingles, and verified if they share enough;
+2. where at most `SMALL` sets hold the shingle all pairs are formed, counted over the shared prefix shingles, and
+   those of different components are verified if they share enough;
 3. sets that meet in more frequent shingles, but not in one component, are compared by blocks: families of such sets
    are cut into chunks in order of size, and pairs of chunks whose sizes allow a link are compared
    within a task, exactly, pairs of one component left out. What leaves is a spanning forest of the links.
@@ -79,14 +79,25 @@ def sized(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKETS, np.int64)
         names = ["doc_id", "content", "n", "chunk", "counts"]
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            counts[:] += np.bincount(np.concatenate(held).view(np.int64), minlength=1 << BUCKETS)
+            held.clear()
+
         for batch in it:
-            names_, sizes = [], []
+            names_, sizes, size = [], [], 0
             for text in texts(batch, "text"):
                 h = shingles(text, words)
-                if len(h):
-                    counts += np.bincount((h >> np.uint64(64 - BUCKETS)).view(np.int64), minlength=1 << BUCKETS)
+                held.append(h >> np.uint64(64 - BUCKETS))
+                size += len(h)
+                if size > 1 << 20:
+                    count()
+                    size = 0
                 names_.append(content(h))
                 sizes.append(len(h))
+            if held:
+                count()
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names_, pa.int64()), pa.array(sizes, pa.int64()), *none], names)
         parts = counts.reshape(-1, _CHUNK)
@@ -211,30 +222,39 @@ def _counted(met: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b")
 
 
-def stars(runs: DataFrame) -> DataFrame:
+def met_first(runs: DataFrame) -> DataFrame:
+    """(token, size, other): of every token that several sets hold their number, and the first of them."""
+    first = runs.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("content", "n", "need")).alias("other"))
+    return materialise(first.filter("size > 1"), "first")
+
+
+def stars(runs: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b): every set of a token with the first of them."""
-    first = runs.groupBy("token").agg(F.min(F.struct("content", "n", "need")).alias("other"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    return _counted(runs.join(materialise(first, "first"), "token").filter(f"content != other.content and {_FITS}"))
+    return _counted(runs.join(first, "token").filter(f"content != other.content and {_FITS}"))
+
+
+def pairs(runs: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b): all pairs of tokens that at most SMALL sets hold."""
+    small = materialise(runs.join(first.filter(f"size <= {SMALL}").select("token"), "token"), "small")
+    others = small.select("token", F.struct("content", "n", "need").alias("other"))
+    return _counted(small.join(others, "token").filter(f"content < other.content and {_FITS}"))
 
 
-def apart(runs: DataFrame, comps: DataFrame) -> DataFrame:
-    """(token, size, content, n, need, comp): the postings of tokens whose sets aren't all in one component."""
-    named = runs.join(comps.select(F.col("node").alias("content"), "root"), "content", "left").select("token", "content", "n", "need", F.coalesce("root", "content").alias("comp"))
-    named = materialise(named, "named")
-    tokens = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token", "size")
-    return materialise(named.join(materialise(tokens, "tokens"), "token"), "apart")
+def named(rows: DataFrame, comps: DataFrame, col: str, name: str) -> DataFrame:
+    """`rows` with `name`, the component of the content in `col`: itself where it has no link."""
+    of = comps.select(F.col("node").alias(col), F.col("root").alias("__root"))
+    return rows.join(of, col, "left").withColumn(name, F.coalesce("__root", col)).drop("__root")
 
 
-def crossing(rest: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components in tokens of at most SMALL sets."""
-    rest = rest.filter(f"size <= {SMALL}").select("token", "content", "n", "need", "comp")
-    others = rest.select("token", F.struct("content", "n", "need", "comp").alias("other"))
-    return _counted(rest.join(others, "token").filter(f"content < other.content and comp != other.comp and {_FITS}"))
+def apart(big: DataFrame, comps: DataFrame) -> DataFrame:
+    """(token, content, n, need, comp): the postings of tokens whose sets aren't all in one component."""
+    rows = materialise(named(big, comps, "content", "comp"), "named")
+    tokens = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token")
+    return materialise(rows.join(materialise(tokens, "tokens"), "token"), "apart")
 
 
-def blocks(rest: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(a, b): links of different components among sets that meet in tokens of more than SMALL sets, as forests; None if there are no such."""
-    big = rest.filter(f"size > {SMALL}")
+def blocks(big: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(a, b): links of different components among the sets of the postings `big`, as forests; None if there are no such."""
     if big.isEmpty():
         return None
     first = materialise(big.groupBy("token").agg(F.min("content").alias("first")), "first")
@@ -293,20 +313,25 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     docs = _texts(docs, id_col, text_col)
     rows, magnitude = sized(docs, words)
     runs = materialise(adapted(prefixes(docs, magnitude, words)), "runs")
-    tested = materialise(stars(runs), "stars")
-    sets = materialise(set_hashes(docs, runs.select("content"), words), "sets")
+    first = met_first(runs)
+    tested = materialise(stars(runs, first), "stars")
+    close = materialise(pairs(runs, first), "pairs")
+    big = materialise(runs.join(first.filter(f"size > {SMALL}").select("token"), "token"), "big")
+    ends = tested.unionByName(close).select(F.explode(F.array("a", "b")).alias("content"))
+    wanted = ends.unionByName(big.select("content")).distinct()
+    sets = materialise(set_hashes(docs, wanted, words), "sets")
     links = verified(tested, sets)
     comps = components(links)
-    rest = apart(runs, comps)
-    more = [verified(crossing(rest).join(tested, ["a", "b"], "left_anti"), sets)]
-    if (found := blocks(rest, sets)) is not None:
+    rest = named(named(close.join(tested, ["a", "b"], "left_anti"), comps, "a", "x"), comps, "b", "y").filter("x != y")
+    more = [verified(rest, sets)]
+    if (found := blocks(apart(big, comps), sets)) is not None:
         more.append(found)
     more = [m for m in more if not m.isEmpty()]
     if more:
         for m in more:
             links = links.unionByName(m)
         comps = components(links)
-    release(sets, rest, runs)
+    release(sets, runs)
     whole = materialise(rows.filter("n > 0").groupBy("content").agg(F.min("doc_id").alias("first")), "contents")
     rooted = materialise(whole.join(comps.select(F.col("node").alias("content"), "root"), "content", "left").select("content", "first", F.coalesce("root", "content").alias("root")), "rooted")
     smallest = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")

@@ -51,7 +51,7 @@ def test_blocks_decide(spark, monkeypatch):
     rows = docs(5, 3, 40, 9)
     want = Counter(jaccard_join.brute_force(rows))
     assert Counter(map(tuple, jaccard_join.joined(frame(spark, rows)).collect())) == want
-    monkeypatch.setattr(jaccard_join, "blocks", lambda rest, sets: None)
+    monkeypatch.setattr(jaccard_join, "blocks", lambda big, sets: None)
     assert Counter(map(tuple, jaccard_join.joined(frame(spark, rows)).collect())) != want
 
 
