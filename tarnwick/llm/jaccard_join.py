@@ -1,7 +1,7 @@
 """Similarity join of documents on sets of word shingles, by adaptive multi-match prefixes.
 
-A set's shingles are put in one order for all documents, the rare ones first (by the magnitude of
-a count in `BUCKETS` buckets over all documents, then by hash). Two sets of a Jaccard similarity of
+A set's shingles are put in one order for all documents, the rare ones first: by the magnitudes of their words' counts over
+all documents (in 2 ** `BUCKETS` buckets), then by hash. Two sets of a Jaccard similarity of
 `PERCENT` share at least that part of either's size, so of a set of n shingles and least overlap t
 the first n - t + l hold at least l of those shared: the l-prefix. Each document chooses
 its l from 1 to `MOST` by cost: the postings it meets in the l-prefix, and the candidates they
@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwick.llm.batches import map_batches, texts
+from tarnwick.llm.batches import lower_words, map_batches, texts
 from tarnwick.llm.merkle import placed
-from tarnwick.llm.near_copies import shingles
+from tarnwick.llm.near_copies import _FACTORS, _mixed
 from tarnwick.llm.near_dup import forest
 from tarnwick.operators.graph import components
 from tarnwick.session import materialise, release, table
@@ -64,6 +64,27 @@ def content(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), 42)], np.uint64).view(np.int64)[0])
 
 
+def shingled(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words in order, the different hashes of all shingles in order, and where each stands first."""
+    tokens = lower_words(text)
+    each = np.fromiter(map(_word, tokens), np.uint64, len(tokens))
+    if not len(each):
+        return each, each, np.zeros(0, np.int64)
+    n = max(1, len(each) - words + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(min(words, len(each))):
+        total += each[k : k + n] * _FACTORS[k]
+    return each, *np.unique(_mixed(total), return_index=True)
+
+
+def _word(token: bytes) -> int:
+    return xxhash.xxh64_intdigest(token, 42)
+
+
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - BUCKETS)).view(np.int64)
+
+
 def least_overlap(n: int) -> int:
     """The fewest shingles that a set of n must share with any partner."""
     return (PERCENT * n + 99) // 100
@@ -74,7 +95,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sized(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, content, n) of each row, and the magnitude (base 2) of each bucket's count of shingles over all rows."""
+    """(doc_id, content, n) of each row, and the magnitude of each bucket's count of words over all rows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKETS, np.int64)
@@ -82,15 +103,15 @@ def sized(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         held: list[np.ndarray] = []
 
         def count() -> None:
-            counts[:] += np.bincount(np.concatenate(held).view(np.int64), minlength=1 << BUCKETS)
+            counts[:] += np.bincount(np.concatenate(held), minlength=1 << BUCKETS)
             held.clear()
 
         for batch in it:
             names_, sizes, size = [], [], 0
             for text in texts(batch, "text"):
-                h = shingles(text, words)
-                held.append(h >> np.uint64(64 - BUCKETS))
-                size += len(h)
+                each, h, _ = shingled(text, words)
+                held.append(_bucket(each))
+                size += len(each)
                 if size > 1 << 20:
                     count()
                     size = 0
@@ -119,7 +140,7 @@ def sized(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     whole = np.zeros((1 << BUCKETS) // _CHUNK * _CHUNK, np.int64).reshape(-1, _CHUNK)
     for row in parts.groupBy("chunk").applyInArrow(added, "chunk int, counts binary").toArrow().to_pylist():
         whole[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
-    magnitude = np.frexp(whole.ravel().astype(float))[1].astype(np.uint8)
+    magnitude = np.round(4 * np.log2(1.0 + whole.ravel())).astype(np.int16)
     return both.filter("chunk is null").select("doc_id", "content", "n"), magnitude
 
 
@@ -132,13 +153,14 @@ def prefixes(docs: DataFrame, magnitude: np.ndarray, words: int) -> DataFrame:
         for batch in it:
             names, sizes, tokens = [], [], []
             for text in texts(batch, "text"):
-                h = shingles(text, words)
+                each, h, at = shingled(text, words)
                 if not len(h) or (name := content(h)) in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(name)
+                level = np.concatenate([rank[_bucket(each)], np.zeros(words - 1, np.int16)])
                 # sorted by hash, so a stable order by magnitude is one by both
-                order = np.argsort(rank[(h >> np.uint64(64 - BUCKETS)).view(np.int64)], kind="stable")
+                order = np.argsort(sum(level[at + k] for k in range(words)), kind="stable")
                 names.append(name)
                 sizes.append(len(h))
                 tokens.append(h[order[: len(h) - least_overlap(len(h)) + MOST]].view(np.int64))
@@ -150,7 +172,11 @@ def prefixes(docs: DataFrame, magnitude: np.ndarray, words: int) -> DataFrame:
 
 
 def adapted(sets: DataFrame) -> DataFrame:
-    """(token, content, n, need): the postings of each set's own prefix, for tokens that several sets hold; need is its l."""
+    """(token, content, n, need, hot): the postings of each set's own prefix, for tokens that several sets hold.
+
+    need is the set's l, always `MOST` where it meets a token of more than `SMALL` sets; hot is the number of those in its prefix.
+    Sets of fewer shingles than `MOST` are similar to equal ones alone, and those are collapsed.
+    """
     posted = materialise(sets, "prefixes").select("content", "n", F.posexplode("tokens").alias("pos", "token"))
     df = materialise(posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     met = posted.join(df, "token")
@@ -160,8 +186,10 @@ def adapted(sets: DataFrame) -> DataFrame:
     for l in range(1, MOST + 1):
         postings = F.sum(F.expr(f"if(pos < {shortest} + {l - 1}, df - 1, 0L)")).over(own)
         costs.append(F.struct((postings + postings / l * (VERIFY + F.col("n") / PER)).alias("cost"), F.lit(l).alias("need")))
-    chosen = met.select("token", "content", "n", "pos", F.least(*costs).getField("need").alias("need"))
-    return chosen.filter(f"pos < {shortest} + need - 1").drop("pos")
+    busy = F.max(F.expr(f"df > {SMALL}")).over(own)
+    chosen = met.select("token", "content", "n", "pos", "df", F.when(busy, MOST).otherwise(F.least(*costs).getField("need")).alias("need"))
+    chosen = chosen.filter(f"pos < {shortest} + need - 1")
+    return chosen.select("token", "content", "n", "need", F.sum(F.expr(f"cast(df > {SMALL} as int)")).over(own).alias("hot"), (F.col("df") > SMALL).alias("busy"))
 
 
 def set_hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -180,7 +208,7 @@ def set_hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in it:
             names, sets = [], []
             for text in texts(batch, "text"):
-                h = shingles(text, words)
+                _, h, _ = shingled(text, words)
                 if not len(h) or (name := content(h)) in seen:
                     continue
                 bit = name & ((1 << BITMAP) - 1)
@@ -216,28 +244,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _FITS = f"100 * least(n, other.n) >= {PERCENT} * greatest(n, other.n)"
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    """(a, b) of (content, n, need, other) met in a token each, where they share as many tokens as the smaller need."""
-    pairs = met.select(F.least("content", "other.content").alias("a"), F.greatest("content", "other.content").alias("b"), F.least("need", "other.need").alias("need"))
+def _counted(met: DataFrame, need: str) -> DataFrame:
+    """(a, b) of (content, n, need, hot, other) met in a token each, where they share as many tokens as `need`."""
+    pairs = met.select(F.least("content", "other.content").alias("a"), F.greatest("content", "other.content").alias("b"), F.expr(need).alias("need"))
     return pairs.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b")
 
 
-def met_first(runs: DataFrame) -> DataFrame:
-    """(token, size, other): of every token that several sets hold their number, and the first of them."""
-    first = runs.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("content", "n", "need")).alias("other"))
-    return materialise(first.filter("size > 1"), "first")
-
-
-def stars(runs: DataFrame, first: DataFrame) -> DataFrame:
+def stars(runs: DataFrame) -> DataFrame:
     """(a, b): every set of a token with the first of them."""
-    return _counted(runs.join(first, "token").filter(f"content != other.content and {_FITS}"))
+    first = runs.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("content", "n", "need")).alias("other"))
+    first = materialise(first.filter("size > 1").drop("size"), "first")
+    return _counted(runs.join(first, "token").filter(f"content != other.content and {_FITS}"), "least(need, other.need)")
 
 
-def pairs(runs: DataFrame, first: DataFrame) -> DataFrame:
-    """(a, b): all pairs of tokens that at most SMALL sets hold."""
-    small = materialise(runs.join(first.filter(f"size <= {SMALL}").select("token"), "token"), "small")
-    others = small.select("token", F.struct("content", "n", "need").alias("other"))
-    return _counted(small.join(others, "token").filter(f"content < other.content and {_FITS}"))
+def pairs(runs: DataFrame) -> DataFrame:
+    """(a, b): all pairs of tokens that at most SMALL sets hold, where these and as many busy ones as both have make up the need."""
+    small = runs.filter("not busy").drop("busy")
+    others = small.select("token", F.struct("content", "n", "need", "hot").alias("other"))
+    return _counted(small.join(others, "token").filter(f"content < other.content and {_FITS}"), "least(need, other.need) - least(hot, other.hot)")
 
 
 def named(rows: DataFrame, comps: DataFrame, col: str, name: str) -> DataFrame:
@@ -313,10 +337,10 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     docs = _texts(docs, id_col, text_col)
     rows, magnitude = sized(docs, words)
     runs = materialise(adapted(prefixes(docs, magnitude, words)), "runs")
-    first = met_first(runs)
-    tested = materialise(stars(runs, first), "stars")
-    close = materialise(pairs(runs, first), "pairs")
-    big = materialise(runs.join(first.filter(f"size > {SMALL}").select("token"), "token"), "big")
+    tested = materialise(stars(runs), "stars")
+    close = materialise(pairs(runs), "pairs")
+    # pairs that share no other tokens share as many busy ones as the need, which is MOST for both
+    big = materialise(runs.filter(f"busy and hot >= {MOST}"), "big")
     ends = tested.unionByName(close).select(F.explode(F.array("a", "b")).alias("content"))
     wanted = ends.unionByName(big.select("content")).distinct()
     sets = materialise(set_hashes(docs, wanted, words), "sets")

@@ -68,7 +68,7 @@ def test_needs_grow_with_cost_and_lose_no_pair(spark):
     for r in runs:
         tokens.setdefault(r.content, set()).add(r.token)
         need[r.content] = r.need
-    sets = {jaccard_join.content(h): set(h.tolist()) for t in texts if len(h := jaccard_join.shingles(t.encode(), 3))}
+    sets = {jaccard_join.content(h): set(h.tolist()) for t in texts if len(h := jaccard_join.shingled(t.encode(), 3)[1])}
     pairs = 0
     for x, a in sets.items():
         for y, b in sets.items():
