@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwick.operators.articles import per_group
 from tarnwick.session import materialise
 
 LEASE = "5 minutes"
@@ -47,28 +46,35 @@ def history(direct: DataFrame, pointed: DataFrame, mentioned: DataFrame) -> Data
     return every.groupBy("article", "item").agg(F.min("tie")["via"].alias("via"))
 
 
-def slugs(rows: DataFrame, key: str, label: str, taken: DataFrame | None = None, attempts: int = 8) -> DataFrame:
+def slugs(rows: DataFrame, key: str, label: str, taken: DataFrame | None = None) -> DataFrame:
     """(key, slug): labels as slugs, all different and none in `taken` (slug).
 
     Rows of one base get it in the order of their keys, first plain and then with the smallest numbers that are free:
-    what is taken, or is the plain base of another label, isn't. Beyond `attempts` comes a part of the key's hash.
+    what is taken, or is the plain base of another label, isn't. There is no largest number. Of a base's k-th row and the
+    numbers that aren't free, those with fewer than k free ones below come before it; so in one order of both a row's
+    place within its base is its number. Rows of an equal key share a number only if they are one row: keys are unique.
     """
     base = F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9]+", "-"), "^-|-$", "")
-    b = rows.select(key, F.when(base == "", "item").otherwise(base).alias("base"))
+    b = rows.select(F.col(key).alias("key"), F.when(F.coalesce(base, F.lit("")) == "", "item").otherwise(base).alias("base"))
     plain = taken.select("slug") if taken is not None else rows.sparkSession.createDataFrame([], "slug string")
-    numbered = plain.select("slug").unionByName(b.select(F.col("base").alias("slug")).distinct()).filter(F.col("slug").rlike(r"^.+-[1-9]\d{0,8}$"))
-    number = F.regexp_extract("slug", r"-(\d+)$", 1).cast("int")
+    numbered = plain.unionByName(b.select(F.col("base").alias("slug")).distinct()).filter(F.col("slug").rlike(r"^.+-[1-9]\d{0,17}$"))
+    number = F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("long")
     used = numbered.select(F.regexp_replace("slug", r"-\d+$", "").alias("base"), number.alias("n")).filter(number >= 2)
-    used = used.unionByName(plain.select(F.col("slug").alias("base"), F.lit(1).alias("n"))).filter(F.col("n") <= attempts)
-    used = used.groupBy("base").agg(F.collect_set("n").alias("used"))
-    free = F.array_except(F.sequence(F.lit(1), F.lit(attempts)), F.coalesce("used", F.array().cast("array<int>")))
-    # only the first rows of a base can get a number, so a frequent base is cut before the shuffle
-    first = per_group(b, ["base"], [F.col(key)], attempts)
-    first = first.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy(key))).join(used, "base", "left")
-    first = first.select(key, F.when(F.col("n") <= F.size(free), F.get(free, F.col("n") - 1)).alias("given"))
-    tail = F.when(F.col("given") == 1, "").when(F.col("given").isNotNull(), F.concat(F.lit("-"), F.col("given").cast("string")))
-    tail = F.coalesce(tail, F.concat(F.lit("-"), F.substring(F.md5(F.col(key).cast("string")), 1, 8)))
-    return b.join(first, key, "left").select(key, F.concat("base", tail).alias("slug"))
+    used = used.unionByName(plain.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("n"))).distinct()
+    used = placed(used.join(b.select("base").distinct(), "base", "left_semi"), "base", [F.col("n")]).withColumn("free", F.col("n") - F.col("place"))
+    b = placed(b, "base", [F.col("key")])
+    none = F.lit(None).cast(b.schema["key"].dataType)
+    # a number that isn't free has n - place free ones below it, and stands before the row that would be the next
+    both = b.select("base", F.col("place").alias("at"), F.lit(0).alias("kind"), "key").unionByName(used.select("base", F.col("free").alias("at"), F.lit(1).alias("kind"), none.alias("key")))
+    given = placed(both, "base", [F.col("at"), F.col("kind")]).filter("kind = 0")
+    return given.select(F.col("key").alias(key), F.when(F.col("place") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("place").cast("string"))).alias("slug"))
+
+
+def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """`rows` with `place`, from 1 within `group` in `order`, whatever the group's size: ordinals less those before the group."""
+    all_ = materialise(ordinals(rows, [F.col(group), *order]), "placed")
+    first = materialise(all_.groupBy(group).agg(F.min("ordinal").alias("__first")), "first")
+    return all_.join(first, group).withColumn("place", F.col("ordinal") - F.col("__first") + 1).drop("ordinal", "__first")
 
 
 def ordinals(rows: DataFrame, order: list[Column]) -> DataFrame:

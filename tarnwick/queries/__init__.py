@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tarnwick.queries import articles, catalog, filters, flows, geography, ingest, lists, mentions, names, operations, resolution  # noqa: F401
+    from tarnwick.queries import articles, catalog, filters, flows, geography, ingest, lists, mentions, names, operations, reconciled, resolution  # noqa: F401

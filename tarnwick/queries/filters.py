@@ -84,8 +84,8 @@ def source_file_parts(spark, sf_dir):
 
 @query(
     "with n as (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as n from part), t as (select distinct p_name from part where p_size = 3),"
-    " f as (select p_name, list_filter(range(1, 9), lambda i: not ((i = 1 and taken) or i = 4)) as free from (select distinct p_name, p_name in (select p_name from t) as taken from part))"
-    " select p_partkey, replace(p_name, ' ', '-') || case when n > len(free) then '-' || substr(md5(cast(p_partkey as varchar)), 1, 8) when free[n] = 1 then '' else '-' || free[n] end as slug from n join f using (p_name)"
+    " f as (select p_name, list_filter(range(1, c + 3), lambda i: not ((i = 1 and taken) or i = 4)) as free from (select p_name, count(*) as c, p_name in (select p_name from t) as taken from part group by p_name))"
+    " select p_partkey, replace(p_name, ' ', '-') || case when free[n] = 1 then '' else '-' || free[n] end as slug from n join f using (p_name)"
 )
 def slug_allocation_taken(spark, sf_dir):
     """Slugs beside those taken: the plain ones of some names, and number 4 of every name."""

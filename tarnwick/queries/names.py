@@ -154,7 +154,7 @@ def processing_history(spark, sf_dir):
     return runs.history(item.filter("l_returnflag = 'R'"), item.filter("l_quantity > 25"), item)
 
 
-@query("select p_partkey, replace(p_name, ' ', '-') || case when n = 1 then '' when n <= 8 then '-' || n else '-' || substr(md5(cast(p_partkey as varchar)), 1, 8) end as slug from (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as n from part)")
+@query("select p_partkey, replace(p_name, ' ', '-') || case when n = 1 then '' else '-' || n end as slug from (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as n from part)")
 def slug_allocation(spark, sf_dir):
     return runs.slugs(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 

@@ -91,9 +91,20 @@ def test_connections(spark):
 def test_slugs(spark):
     rows = spark.createDataFrame([(n, "A b!") for n in range(10)] + [(99, "??")], "id long, label string")
     got = {r.id: r.slug for r in runs.slugs(rows, "id", "label").collect()}
-    assert got[0] == "a-b" and got[7] == "a-b-8" and len(got[9]) == len("a-b-") + 8 and got[99] == "item" and len(set(got.values())) == 11
+    assert got[0] == "a-b" and got[7] == "a-b-8" and got[9] == "a-b-10" and got[99] == "item" and len(set(got.values())) == 11
     taken = spark.createDataFrame([("a-b",), ("a-b-3",)], "slug string")
     assert [r.slug for r in runs.slugs(rows.filter("id < 3"), "id", "label", taken).orderBy("id").collect()] == ["a-b-2", "a-b-4", "a-b-5"]
     rows = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A 2"), (4, "Route 66")], "id long, label string")
     taken = spark.createDataFrame([("route-66",)], "slug string")
     assert {r.id: r.slug for r in runs.slugs(rows, "id", "label", taken).collect()} == {1: "a", 2: "a-3", 3: "a-2", 4: "route-66-2"}
+
+
+def test_slugs_of_a_large_base(spark):
+    """100,000 rows of one base beside taken numbers: all different, none taken, the smallest free ones."""
+    n = 100_000
+    rows = spark.range(n).select("id", F.lit("Main St").alias("label"))
+    numbers = [1, 2, 5, 6, 7, 500, n, n + 3, 10**12]
+    taken = spark.createDataFrame([("main-st" if k == 1 else f"main-st-{k}",) for k in numbers] + [("other",), ("main-st-x",)], "slug string")
+    got = runs.slugs(rows, "id", "label", taken).toPandas().set_index("id").sort_index().slug.tolist()
+    free = [k for k in range(1, n + 20) if k not in numbers][:n]
+    assert got == [f"main-st-{k}" for k in free]
