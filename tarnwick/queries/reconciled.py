@@ -22,23 +22,23 @@ with recursive h as (
 ), k as (
   select doc_id, start, name, case when suffix = 0 then given end as given, case when suffix = 0 then family else given end as family, case when given is null then 1 else 2 end as n from n
 ), fold as (
-  select doc_id, cast(0 as bigint) as at, cast([] as struct(name varchar, given varchar, family varchar, key varchar, n integer, starts bigint[])[]) as clusters, 0 as unresolved from (select distinct doc_id from k)
+  select doc_id, cast(0 as bigint) as pos, cast([] as struct(name varchar, given varchar, family varchar, key varchar, n integer, starts bigint[])[]) as clusters, 0 as unresolved from (select distinct doc_id from k)
   union all
-  select doc_id, at, case
+  select doc_id, pos, case
       when len(hits) = 1 then list_transform(clusters, lambda x, i: case when i = hits[1] then
         struct_pack(name := case when n > x.n then name else x.name end, given := case when n > x.n then given else x.given end, family := case when n > x.n then family else x.family end,
-          key := case when n > x.n then lower(name) else x.key end, n := greatest(n, x.n), starts := list_append(x.starts, at)) else x end)
+          key := case when n > x.n then lower(name) else x.key end, n := greatest(n, x.n), starts := list_append(x.starts, pos)) else x end)
       when n = 1 then clusters
-      else list_append(clusters, struct_pack(name := name, given := given, family := family, key := lower(name), n := n, starts := [at])) end,
+      else list_append(clusters, struct_pack(name := name, given := given, family := family, key := lower(name), n := n, starts := [pos])) end,
     unresolved + case when len(hits) <> 1 and n = 1 then 1 else 0 end
   from (
-    select f.doc_id, k.start as at, f.clusters, f.unresolved, k.name, k.given, k.family, k.n,
+    select f.doc_id, k.start as pos, f.clusters, f.unresolved, k.name, k.given, k.family, k.n,
       list_filter(range(1, len(f.clusters) + 1), lambda i: f.clusters[i].key = lower(k.name)
         or (coalesce(f.clusters[i].family = k.family, false) and (f.clusters[i].given is null or k.given is null or f.clusters[i].given = k.given))) as hits
-    from fold f join k on k.doc_id = f.doc_id and k.start = f.at + 1
+    from fold f join k on k.doc_id = f.doc_id and k.start = f.pos + 1
   )
 ), last as (
-  select doc_id, arg_max(clusters, at) as clusters, arg_max(unresolved, at) as unresolved from fold group by 1
+  select doc_id, arg_max(clusters, pos) as clusters, arg_max(unresolved, pos) as unresolved from fold group by 1
 )
 select doc_id, cluster, x.name as name, array_to_string(x.starts, ',') as starts, unresolved
 from (select doc_id, unresolved, unnest(clusters) as x, cast(unnest(range(len(clusters))) as integer) as cluster from last)
@@ -70,23 +70,23 @@ with recursive h as (
 ), c as (
   select doc_id, start, name, short, lower(name) as norm, case when not short and len(counted) >= 2 then initials end as acronym from k
 ), fold as (
-  select doc_id, cast(0 as bigint) as at, cast([] as struct(name varchar, norm varchar, acronym varchar, short boolean, starts bigint[])[]) as clusters, 0 as unresolved from (select distinct doc_id from c)
+  select doc_id, cast(0 as bigint) as pos, cast([] as struct(name varchar, norm varchar, acronym varchar, short boolean, starts bigint[])[]) as clusters, 0 as unresolved from (select distinct doc_id from c)
   union all
-  select doc_id, at, case
+  select doc_id, pos, case
       when len(hits) = 1 then list_transform(clusters, lambda x, i: case when i = hits[1] then
-        struct_pack(name := case when better then name else x.name end, norm := case when better then norm else x.norm end, acronym := case when better then acronym else x.acronym end, short := case when better then short else x.short end, starts := list_append(x.starts, at)) else x end)
+        struct_pack(name := case when better then name else x.name end, norm := case when better then norm else x.norm end, acronym := case when better then acronym else x.acronym end, short := case when better then short else x.short end, starts := list_append(x.starts, pos)) else x end)
       when short then clusters
-      else list_append(clusters, struct_pack(name := name, norm := norm, acronym := acronym, short := short, starts := [at])) end,
+      else list_append(clusters, struct_pack(name := name, norm := norm, acronym := acronym, short := short, starts := [pos])) end,
     unresolved + case when len(hits) <> 1 and short then 1 else 0 end
   from (
     select *, len(hits) = 1 and ((clusters[hits[1]].short and not short) or (clusters[hits[1]].short = short and strlen(norm) > strlen(clusters[hits[1]].norm))) as better from (
-      select f.doc_id, c.start as at, f.clusters, f.unresolved, c.name, c.norm, c.acronym, c.short,
+      select f.doc_id, c.start as pos, f.clusters, f.unresolved, c.name, c.norm, c.acronym, c.short,
         list_filter(range(1, len(f.clusters) + 1), lambda i: f.clusters[i].norm = c.norm or coalesce(f.clusters[i].acronym = c.norm, false) or coalesce(c.acronym = f.clusters[i].norm, false)) as hits
-      from fold f join c on c.doc_id = f.doc_id and c.start = f.at + 1
+      from fold f join c on c.doc_id = f.doc_id and c.start = f.pos + 1
     )
   )
 ), last as (
-  select doc_id, arg_max(clusters, at) as clusters, arg_max(unresolved, at) as unresolved from fold group by 1
+  select doc_id, arg_max(clusters, pos) as clusters, arg_max(unresolved, pos) as unresolved from fold group by 1
 )
 select doc_id, cluster, x.name as name, array_to_string(x.starts, ',') as starts, unresolved
 from (select doc_id, unresolved, unnest(clusters) as x, cast(unnest(range(len(clusters))) as integer) as cluster from last)
