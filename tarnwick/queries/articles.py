@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text, vectors
+from tarnwick.functions.stems import stem_sql, stems_of
 from tarnwick.operators import articles as a
+from tarnwick.operators import fulltext
 from tarnwick.queries import query
 from tarnwick.session import table
 
@@ -173,3 +175,29 @@ def summary_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     by = docs.groupBy("source", "lang").agg(F.count("*").alias("articles"), F.sum("n_chars").alias("chars"))
     return by.join(docs.groupBy("source").agg(F.count_distinct("lang").alias("langs")), "source")
+
+
+def _cover_sql(first: str, second: str) -> str:
+    """Documents that hold both stems, by covers: the SQL of a search for two words."""
+    return f"""
+with w as (
+  select doc_id, unnest(l) as word, unnest(range(1, len(l) + 1)) as pos from (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as l from documents)
+), v as (
+  select word, case {stem_sql("word")} when '{first}' then 0 when '{second}' then 1 end as term from (select distinct word from w where left(word, 2) in ('{first[:2]}', '{second[:2]}'))
+), hit as (
+  select doc_id, pos, term, row_number() over (partition by doc_id order by pos) as nth from w join v using (word) where term is not null
+), ends as (
+  select doc_id, pos, nth, max(case when term = 0 then pos end) over o as a, max(case when term = 1 then pos end) over o as b from hit window o as (partition by doc_id order by pos)
+), cover as (
+  select doc_id, pos, nth, least(a, b) as start, max(least(a, b)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as earlier from ends where a is not null and b is not null
+)
+select c.doc_id, round(sum(0.1 / (1 + c.pos - start - (c.nth - h.nth))), 6) as rank
+from cover c join hit h on h.doc_id = c.doc_id and h.pos = c.start where earlier is null or start > earlier group by 1
+"""
+
+
+@query(_cover_sql(*stems_of(["attions", "ertion"])))
+def keyword_stemmed(spark, sf_dir):
+    """Documents with both words in any form, ranked by how close together they stand."""
+    found = fulltext.search(table(spark, sf_dir, "documents"), "doc_id", "text", "attions ertion")
+    return found.select("doc_id", F.round("rank", 6).alias("rank"))
