@@ -86,19 +86,21 @@ def keyed(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(keys).alias("key"))
 
 
-@query(f"with {_KEYED}, s as (select key from keyed group by 1 having count(*) > 1 and (count(*) <= 8 or starts_with(key, 'exact:'))), u as (select * from keyed where key in (select key from s)) select distinct a.id as a, b.id as b from u a join u b using (key) where a.id < b.id")
+@query(f"with {_KEYED}, s as (select key from keyed group by 1 having count(*) > 1 and (count(*) <= 250 or starts_with(key, 'exact:'))), u as (select * from keyed where key in (select key from s)) select distinct a.id as a, b.id as b from u a join u b using (key) where a.id < b.id")
 def blocking_pairs(spark, sf_dir):
-    return c.blocking_pairs(keyed(spark, sf_dir), "id", cap=8)[0]
+    return c.blocking_pairs(keyed(spark, sf_dir), "id")[0]
 
 
-@query(f"with {_KEYED} select key, cast(count(*) as bigint) as size from keyed group by 1 having count(*) > 8 and not starts_with(key, 'exact:')")
+@query("with keyed as (select c_custkey as id, 'segment:' || c_mktsegment as key from customer union all select c_custkey, 'nation:' || c_nationkey from customer) select key, cast(count(*) as bigint) as size from keyed group by 1 having count(*) > 250")
 def blocking_skipped(spark, sf_dir):
-    return c.blocking_pairs(keyed(spark, sf_dir), "id", cap=8)[1]
+    """Keys of more customers than pairs are formed for."""
+    keys = F.array(F.concat(F.lit("segment:"), "c_mktsegment"), F.concat(F.lit("nation:"), "c_nationkey"))
+    return c.blocking_pairs(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(keys).alias("key")), "id")[1]
 
 
-@query(f"with {_KEYED}, s as (select key from keyed group by 1 having count(*) > 1 and (count(*) <= 8 or starts_with(key, 'exact:'))), u as (select * from keyed where key in (select key from s)), p as (select distinct a.id as a, b.id as b from u a join u b using (key) where a.id < b.id) select a, b, least(cast(a as varchar), cast(b as varchar)) || '|' || greatest(cast(a as varchar), cast(b as varchar)) as pair_key from p where (a + b) % 3 <> 0")
+@query(f"with {_KEYED}, s as (select key from keyed group by 1 having count(*) > 1 and (count(*) <= 250 or starts_with(key, 'exact:'))), u as (select * from keyed where key in (select key from s)), p as (select distinct a.id as a, b.id as b from u a join u b using (key) where a.id < b.id) select a, b, least(cast(a as varchar), cast(b as varchar)) || '|' || greatest(cast(a as varchar), cast(b as varchar)) as pair_key from p where (a + b) % 3 <> 0")
 def dismissed_pairs(spark, sf_dir):
-    pairs = c.blocking_pairs(keyed(spark, sf_dir), "id", cap=8)[0]
+    pairs = c.blocking_pairs(keyed(spark, sf_dir), "id")[0]
     dismissed = pairs.filter((F.col("a") + F.col("b")) % 3 == 0).select(c.pair_key("a", "b").alias("pair_key"))
     return c.without_dismissed(pairs, dismissed).select("a", "b", "pair_key")
 
