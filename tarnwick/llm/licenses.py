@@ -7,7 +7,8 @@ each meeting is a vote for it. Neighbouring diagonals of a template are merged t
 a word put in or left out moves the rest of a copy by one. A span is verified: each template
 position counts once, by its vote nearest to the span's strongest diagonal, not further from it than
 `DRIFT` of the template's length, and only if it stands behind the position before it. The share of the
-template's positions that remain decides.
+template's positions that remain decides. Of licenses that differ in a word, such as those with and without
+NonCommercial, a copy must also hold the run that tells its own from the others (`DECISIVE`), in order.
 
 A phrase is a template of which only full diagonals count: there its words stand one after
 another. DataFrame functions only. The templates are fixed values of bounded number, so they
@@ -53,6 +54,10 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("mit", "SPDX-License-Identifier: MIT"),
     ("apache-2", "SPDX-License-Identifier: Apache-2.0"),
@@ -106,6 +111,19 @@ TEMPLATES = (
     ),
 )
 
+# By label, the run of K words that its near relatives don't have.
+DECISIVE = {
+    "gpl": "gnu general public",
+    "lgpl": "gnu lesser general",
+    "agpl": "gnu affero general",
+    "cc-by": "attribution 4 0",
+    "cc-by-sa": "attribution sharealike 4",
+    "cc-by-nc": "attribution noncommercial 4",
+    "cc-by-nd": "attribution noderivatives 4",
+    "cc-by-nc-sa": "noncommercial sharealike 4",
+    "cc-by-nc-nd": "noncommercial noderivatives 4",
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -121,31 +139,36 @@ def _runs() -> Column:
 
 
 def template_positions(spark: SparkSession, phrases, templates) -> DataFrame:
-    """(hash, run, template, label, phrase, tpos, runs): one row for each run of each template, and one with hash 0."""
-    rows = [(i, label, i < len(phrases), text) for i, (label, text) in enumerate([*phrases, *templates])]
-    df = spark.createDataFrame(rows, "template int, label string, phrase boolean, text string").withColumn("words", words("text"))
+    """(hash, run, template, label, phrase, tpos, runs, decisive, needs): one row for each run of each template, and one with hash 0.
+
+    needs tells whether a template has a decisive run at all, decisive whether this is it.
+    """
+    rows = [(i, label, i < len(phrases), text, "" if i < len(phrases) else DECISIVE.get(label, "")) for i, (label, text) in enumerate([*phrases, *templates])]
+    df = spark.createDataFrame(rows, "template int, label string, phrase boolean, text string, mark string").withColumn("words", words("text"))
+    df = df.withColumn("needs", F.expr("mark != '' and contains(concat(' ', array_join(words, ' '), ' '), concat(' ', mark, ' '))"))
     df = df.withColumn("hashes", _runs()).filter(F.size("hashes") > 0)
-    df = df.select("template", "label", "phrase", F.size("hashes").alias("runs"), "words", F.posexplode("hashes").alias("tpos", "hash"))
-    df = df.select("hash", F.slice("words", F.col("tpos") + 1, K).alias("run"), "template", "label", "phrase", "tpos", "runs")
-    own = spark.createDataFrame([(0, [], -1, "", False, 0, 1)], df.schema)
+    df = df.select("template", "label", "phrase", F.size("hashes").alias("runs"), "words", "mark", "needs", F.posexplode("hashes").alias("tpos", "hash"))
+    df = df.withColumn("run", F.slice("words", F.col("tpos") + 1, K)).withColumn("decisive", F.col("needs") & (F.array_join("run", " ") == F.col("mark")))
+    df = df.select("hash", "run", "template", "label", "phrase", "tpos", "runs", "decisive", "needs")
+    own = spark.createDataFrame([(0, [], -1, "", False, 0, 1, False, False)], df.schema)
     return df.unionByName(own)
 
 
 def votes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(row, doc_id, n_words, template, label, phrase, runs, tpos, diagonal), one row a vote: template -1 is the document's own row."""
+    """(row, doc_id, n_words, template, label, phrase, runs, tpos, decisive, needs, diagonal), one row a vote: template -1 is the document's own row."""
     known = F.broadcast(template_positions(docs.sparkSession, phrases, templates))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(text_col).alias("words"))
     rows = rows.withColumn("hashes", F.concat(F.array(F.lit(0).cast("long")), _runs()))
     rows = rows.select("row", "doc_id", "words", F.posexplode("hashes").alias("at", "hash")).join(known, "hash")
     rows = rows.filter(((F.col("at") == 0) & (F.col("template") < 0)) | ((F.col("at") > 0) & (F.slice("words", F.greatest(F.col("at"), F.lit(1)), K) == F.col("run"))))
     n_words = F.when(F.col("template") < 0, F.size("words")).alias("n_words")
-    rows = rows.select("row", "doc_id", n_words, "template", "label", "phrase", "runs", "tpos", (F.col("at") - 1 - F.col("tpos")).alias("diagonal"))
+    rows = rows.select("row", "doc_id", n_words, "template", "label", "phrase", "runs", "tpos", "decisive", "needs", (F.col("at") - 1 - F.col("tpos")).alias("diagonal"))
     # all votes of a document lie in one task already; dealt by document once, the later steps need no other exchange
     return rows.repartition("row")
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Votes with neighbouring diagonals of a template merged: (row, doc_id, n_words, template, label, phrase, part, places, first, last, share)."""
+    """Votes with neighbouring diagonals of a template merged: (row, doc_id, n_words, template, label, phrase, part, places, first, last, share, decided)."""
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     step = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR).cast("int")
     merged = found.withColumn("step", F.coalesce(step, F.lit(0))).withColumn("part", F.sum("step").over(order))
@@ -153,11 +176,12 @@ def spans(found: DataFrame) -> DataFrame:
     strongest = Window.partitionBy("row", "template", "part").orderBy(F.desc("votes"), "diagonal")
     merged = merged.withColumn("off", F.abs(F.col("diagonal") - F.first("diagonal").over(strongest)))
     # each position of the template once
-    own = ["row", "doc_id", "template", "label", "phrase", "runs", "part"]
+    own = ["row", "doc_id", "template", "label", "phrase", "runs", "needs", "part"]
     full = F.col("phrase") & (F.col("votes") == F.col("runs")) & (F.col("tpos") == 0)
     near = F.col("off") <= NEAR + DRIFT * F.col("runs")
     placed = merged.groupBy(*own, "tpos").agg(
         F.max("n_words").alias("n_words"),
+        F.max("decisive").alias("decisive"),
         F.min(F.when(near, F.struct("off", "diagonal"))).alias("best"),
         F.sum(full.cast("long")).alias("places"),
         F.min(F.when(full, F.col("diagonal"))).alias("first"),
@@ -173,6 +197,7 @@ def spans(found: DataFrame) -> DataFrame:
         F.min("first").alias("first"),
         F.max("last").alias("last"),
         (F.sum(in_order.cast("long")) / F.first("runs")).alias("share"),
+        (~F.col("needs") | F.max(in_order & F.col("decisive"))).alias("decided"),
     )
 
 
@@ -180,7 +205,7 @@ def scan(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of `docs`: words, places of phrases, labels, and the best verified share as score."""
     s = spans(votes(docs, **options))
     base = F.col("phrase") & (F.col("places") > 0)
-    copy = ~F.col("phrase") & (F.col("template") >= 0) & (F.col("share") >= COPY)
+    copy = ~F.col("phrase") & (F.col("template") >= 0) & (F.col("share") >= COPY) & F.col("decided")
     joined = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("label")))), ",")
     share = F.when(base, 1.0).when(~F.col("phrase") & (F.col("template") >= 0), F.col("share"))
     return s.groupBy("row", "doc_id").agg(
@@ -201,40 +226,42 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda text: text.replace("'", "''")
-    rows = ", ".join(f"({i}, '{label}', {str(i < len(PHRASES)).lower()}, '{quoted(text)}')" for i, (label, text) in enumerate([*PHRASES, *TEMPLATES]))
+    rows = ", ".join(f"({i}, '{label}', {str(i < len(PHRASES)).lower()}, '{quoted(text)}', '{'' if i < len(PHRASES) else DECISIVE.get(label, '')}')" for i, (label, text) in enumerate([*PHRASES, *TEMPLATES]))
     cut = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     runs = f"unnest(range(cast(greatest(0, len(w) - {K - 1}) as bigint)))"
     return f"""
 with t as (
-  select template, label, phrase, {cut("text")} as w from (values {rows}) v(template, label, phrase, text)
+  select template, label, phrase, mark, {cut("text")} as w from (values {rows}) v(template, label, phrase, text, mark)
 ), tp as (
-  select template, label, phrase, len(w) - {K - 1} as runs, tpos, array_to_string(w[tpos + 1:tpos + {K}], ' ') as run
+  select template, label, phrase, len(w) - {K - 1} as runs, tpos, array_to_string(w[tpos + 1:tpos + {K}], ' ') as run,
+    mark <> '' and array_to_string(w[tpos + 1:tpos + {K}], ' ') = mark as decisive, mark <> '' and contains(' ' || array_to_string(w, ' ') || ' ', ' ' || mark || ' ') as needs
   from (select *, {runs} as tpos from t)
 ), d as (
   select row_number() over () as r, doc_id, {cut("text")} as w from documents
 ), dp as (
   select r, pos, array_to_string(w[pos + 1:pos + {K}], ' ') as run from (select r, w, {runs} as pos from d)
 ), v as (
-  select r, template, label, phrase, runs, tpos, pos - tpos as diagonal, count(*) over (partition by r, template, pos - tpos) as votes from dp join tp using (run)
+  select r, template, label, phrase, runs, tpos, decisive, needs, pos - tpos as diagonal, count(*) over (partition by r, template, pos - tpos) as votes from dp join tp using (run)
 ), m as (
   select *, sum(step) over (partition by r, template order by diagonal) as part
   from (select *, case when diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {NEAR} then 1 else 0 end as step from v)
 ), o as (
   select *, phrase and votes = runs and tpos = 0 as whole, abs(diagonal - first_value(diagonal) over (partition by r, template, part order by votes desc, diagonal)) as off from m
 ), q as (
-  select r, template, label, phrase, runs, part, tpos, sum(whole::int) as places, min(diagonal) filter (whole) as f, max(diagonal) filter (whole) as l,
+  select r, template, label, phrase, runs, needs, part, tpos, bool_or(decisive) as decisive, sum(whole::int) as places, min(diagonal) filter (whole) as f, max(diagonal) filter (whole) as l,
     arg_min(diagonal, (off, diagonal)) filter (off <= {NEAR} + {DRIFT} * runs) + tpos as place
-  from o group by r, template, label, phrase, runs, part, tpos
+  from o group by r, template, label, phrase, runs, needs, part, tpos
 ), w as (
   select *, last_value(place ignore nulls) over (partition by r, template, part order by tpos rows between unbounded preceding and 1 preceding) as before from q
 ), s as (
   select r, template, label, phrase, part, sum(places) as places, min(f) as f, max(l) as l,
-    count(*) filter (place is not null and (before is null or place > before)) / max(runs) as share
+    count(*) filter (place is not null and (before is null or place > before)) / max(runs) as share,
+    not bool_or(needs) or coalesce(bool_or(decisive) filter (place is not null and (before is null or place > before)), false) as decided
   from w group by r, template, label, phrase, part
 ), g as (
   select r, sum(places) filter (phrase) as n_base, min(f) as f, max(l) as l,
     array_to_string(list_sort(list(distinct label) filter (phrase and places > 0)), ',') as base_labels,
-    array_to_string(list_sort(list(distinct label) filter ((phrase and places > 0) or (not phrase and share >= {COPY}))), ',') as labels,
+    array_to_string(list_sort(list(distinct label) filter ((phrase and places > 0) or (not phrase and share >= {COPY} and decided))), ',') as labels,
     max(case when phrase then case when places > 0 then 1.0 end else share end) as score
   from s group by r
 )
