@@ -64,9 +64,9 @@ class FMIndex:
     """Index of word sequences for matches of up to `reach` words; symbol 0 ends each sequence.
 
     Suffixes are ordered by their first `reach` words only, equal ones by position, so a search for so many words or
-    fewer is exact. What stays is the transform in a wavelet matrix and two rows of bits: where the suffixes that
-    agree in reach - 1 words begin, and which positions of the text repeat `reach` words that stand earlier.
-    The suffixes themselves are given up.
+    fewer is exact. What stays is the transform in a wavelet matrix, a row of bits for where the suffixes that agree in
+    reach - 1 words begin, and a sample of the suffixes: the first of every interval of `reach` words that holds more
+    than one, which is the earliest of them. Where it is kept, only the interval that a search ends in tells.
     """
 
     def __init__(self, text: np.ndarray, size: int, reach: int) -> None:
@@ -80,9 +80,9 @@ class FMIndex:
         suffixes = np.argsort(held[reach], kind="stable")
         new = lambda ranks: np.concatenate([[True], ranks[suffixes][1:] != ranks[suffixes][:-1]])
         self.begins = BitRank(np.concatenate([new(held[reach - 1]), [True]]).astype(np.uint8))
-        later = np.empty(n, np.uint8)
-        later[suffixes] = ~new(held[reach])
-        self.later = np.packbits(later, bitorder="little")
+        head = new(held[reach])
+        several = head & ~np.concatenate([head[1:], [True]])
+        self.sampled, self.sample = BitRank(several.astype(np.uint8)), suffixes[several].astype(np.int32)
         self.tree = WaveletMatrix(text[suffixes - 1], size)
         counts = np.bincount(text, minlength=size)
         every = np.arange(size)
@@ -100,14 +100,16 @@ class FMIndex:
         ends = self.begins.place(np.concatenate([group - 1, group]))
         return ends[: len(low)], ends[len(low) :]
 
-    def stands_earlier(self, position: np.ndarray) -> np.ndarray:
-        """Whether the `reach` words at a position of the text stand at an earlier one too."""
-        return (self.later[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
+    def earliest(self, low: np.ndarray) -> np.ndarray:
+        """The earliest of several matches of `reach` words, whose interval begins at low."""
+        return self.sample[self.sampled.ones(low)]
 
 
 def matching_statistics(index: FMIndex, text: np.ndarray, starts: np.ndarray, windows: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window position, number of matches, whether one is earlier) for each window of `reach` words of the indexed sequences.
 
+    Both come from the interval that the backward search of the window ends in: its length, and its earliest position.
+
     All sequences are searched side by side, from their last window to their first. A sequence is
     part of the index, so its matching statistics never fall below `reach`: each step gives up the
     last word and goes one word to the left.
@@ -116,14 +118,17 @@ def matching_statistics(index: FMIndex, text: np.ndarray, starts: np.ndarray, wi
     low, high = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
     for k in range(reach - 1, -1, -1):
         low, high = index.extend(text[at + k], low, high)
-    places, sizes = [], []
+    places, lows, sizes = [], [], []
     while True:
         places.append(at)
+        lows.append(low)
         sizes.append(high - low)
         more = at > starts
         if not more.any():
             break
         at, starts, low = at[more] - 1, starts[more], low[more]
         low, high = index.extend(text[at], *index.shorten(low))
-    at, sizes = np.concatenate(places), np.concatenate(sizes)
-    return at, sizes, (sizes > 1) & index.stands_earlier(at)
+    at, low, sizes = np.concatenate(places), np.concatenate(lows), np.concatenate(sizes)
+    earlier, several = np.zeros(len(at), bool), sizes > 1
+    earlier[several] = index.earliest(low[several]) < at[several]
+    return at, sizes, earlier

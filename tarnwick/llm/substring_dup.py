@@ -13,9 +13,10 @@ shard they belong to, and a shard needs no text but theirs.
    their content hash instead, `SALT` documents to each, and the first occurrence to every one of these.
 3. A shard is built into an FM-index (Burrows-Wheeler transform, wavelet matrix). Its segments
    stream through it by backward search; segments of equal words, compared byte by byte, share
-   one search. Windows whose matching statistics reach WINDOW words and that have an earlier match are
-   reported as intervals.
-4. Intervals go back to the documents, whose covered words are removed.
+   one search. The interval in which the search of a window ends holds all its matches; where the earliest of them
+   stands before the window, it is reported.
+4. Intervals go back to the documents, whose covered words are removed. Segments that a text repeats within itself
+   are found by their hashes and compared word by word.
 
 An anchor with more than `HOT` different segments (a phrase of a third of all documents in
 ever new company) deals out single windows by their own hash instead. Anchors are counted by a
@@ -369,7 +370,7 @@ def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removed_words(all_texts: list[bytes], cuts: list[list[dict] | None]) -> list[np.ndarray | None]:
     """For each text which of its words are covered by a repeated window; None if it holds no repetition at all.
 
-    A segment whose content stands earlier in the same text goes whole, reported or not.
+    A segment whose words, compared one by one, stand earlier in the same text goes whole, reported or not.
     """
     out: list[np.ndarray | None] = []
     for group in _groups(all_texts):
@@ -378,13 +379,20 @@ def removed_words(all_texts: list[bytes], cuts: list[list[dict] | None]) -> list
         first = np.zeros(len(s.text), bool)
         first[s.firsts()] = True
         edges = [None] * len(part)
-        at, masks = -1, {}
+        at, masks, begins, words = -1, {}, {}, []
         for k, content, start, windows, new in zip(*(x.tolist() for x in (s.text, s.content, s.start, s.windows, first)), strict=True):
             if k != at:
-                at, masks = k, {}
+                at, masks, begins, words = k, {}, {}, []
                 for x in cuts[group.start + k] or ():
                     masks[x["content"]] = masks.get(x["content"], 0) | x["mask"]
             mask = masks.get(content, 0) if new else -1
+            if new:
+                begins[content] = start
+            else:
+                words = words or plain_words(part[k])
+                size, first_at = windows + WINDOW - 1, begins[content]
+                if words[start : start + size] != words[first_at : first_at + size]:
+                    continue
             if not mask:
                 continue
             if edges[k] is None:

@@ -61,6 +61,57 @@ def test_matching_statistics_against_all_pairs():
         assert n == len(same) and e == (min(same) < a)
 
 
+def test_search_decides_what_stands_earlier(monkeypatch):
+    """A search that makes no steps must lose what a shard reports."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+
+    def shard():
+        out = s._Shard()
+        for d in range(12):
+            words = [f"d{d}.{i}" for i in range(4)] + passage[d % 3 : 24 + d % 3] + [rng.choice("abc") for _ in range(3)]
+            out.rows.append((d, 0, d, 0, " ".join(words).encode()))
+        return out
+
+    rng.seed(8)
+    batch = shard().search()
+    masks = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+    seen, want = set(), {}
+    rng.seed(8)
+    for d, _, _, _, words in shard().rows:
+        words = words.split(b" ")
+        every = [tuple(words[i : i + s.WINDOW]) for i in range(len(words) - s.WINDOW + 1)]
+        if mask := sum(1 << i for i, w in enumerate(every) if w in seen):
+            want[d] = mask
+        seen.update(every)
+    assert masks == want and len(want) == 11
+    for idle in ({"extend": lambda self, symbol, low, high: (low, high)}, {"shorten": lambda self, low: (low, low)}):
+        with monkeypatch.context() as m:
+            for name, f in idle.items():
+                m.setattr(FMIndex, name, f)
+            rng.seed(8)
+            try:
+                batch = shard().search()
+            except IndexError:
+                continue
+            assert batch is None or dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())) != want
+
+
+def test_equal_hashes_of_different_words_cut_nothing(monkeypatch):
+    words = [f"u{i}" for i in range(300)]
+    text = " ".join(words).encode()
+    assert s.removed_words([text], [None]) == [None]
+    whole = s.Segments.__init__
+
+    def collide(self, texts):
+        whole(self, texts)
+        self.content = np.zeros_like(self.content)
+        self.windows = np.minimum(self.windows, 1)
+
+    monkeypatch.setattr(s.Segments, "__init__", collide)
+    assert s.removed_words([text], [None]) == [None]
+
+
 def test_places_of_ones():
     rng = np.random.default_rng(5)
     bits = (rng.random(1000) < 0.1).astype(np.uint8)
