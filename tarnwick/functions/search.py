@@ -64,6 +64,22 @@ def clause(spec: str) -> tuple[bool, str, str, list]:
     return negated, key, op, found
 
 
+def meta_clause(spec: str) -> tuple[bool, str, list[str]]:
+    """(negated, type, categories) of `type` or `type:category|category`, with ! in front for the opposite.
+
+    Blanks around each part go, repeated categories count once. An empty part and more than `VALUES` categories are errors.
+    """
+    spec = spec.strip()
+    negated = spec.startswith("!")
+    kind, colon, every = spec[negated:].partition(":")
+    categories = list(dict.fromkeys(c.strip() for c in every.split("|"))) if colon else []
+    if not kind.strip() or "" in categories:
+        raise ValueError(f"an empty part in the clause {spec!r}")
+    if len(categories) > VALUES:
+        raise ValueError(f"{len(categories)} categories in a clause, {VALUES} at most")
+    return negated, kind.strip(), categories
+
+
 def _literal(text: str) -> bool | float | str:
     if text.lower() in ("true", "false"):
         return text.lower() == "true"

@@ -44,13 +44,17 @@ def having(df: DataFrame, others: DataFrame, key: str, *, negate: bool = False)
     return df.join(others.select(key), key, "left_anti" if negate else "left_semi")
 
 
-def meta_clauses(df: DataFrame, meta: DataFrame, key: str, clauses: list[tuple[bool, str, list[str]]]) -> DataFrame:
-    """(negated, type, categories) clauses, all to hold; each one's categories are alternatives.
+def meta_clauses(df: DataFrame, meta: DataFrame, key: str, clauses: list[str | tuple[bool, str, list[str]]]) -> DataFrame:
+    """(negated, type, categories) clauses or their text (see `functions.search.meta_clause`), all to hold; each one's categories are
+    alternatives. More than `CLAUSES` are an error.
 
     However many there are, the key-value table is read and shuffled once: each clause is a flag of one aggregate.
     """
+    if len(clauses) > CLAUSES:
+        raise ValueError(f"{len(clauses)} metadata clauses, {CLAUSES} at most")
     if not clauses:
         return df
+    clauses = [search.meta_clause(c) if isinstance(c, str) else c for c in clauses]
     flags = []
     for i, (_, kind, categories) in enumerate(clauses):
         hit = F.col("meta_type") == kind

@@ -56,7 +56,7 @@ def meta_exclude(spark, sf_dir):
     " and not exists (select 1 from labels l where l.doc_id = d.doc_id and toxic = 1) and exists (select 1 from labels l where l.doc_id = d.doc_id and toxic is not null)"
 )
 def meta_clauses(spark, sf_dir):
-    clauses = [(False, "quality", ["0", "1"]), (True, "toxic", ["1"]), (False, "toxic", [])]
+    clauses = ["quality: 0 | 1 | 0", "!toxic:1", "toxic"]
     return a.meta_clauses(table(spark, sf_dir, "documents").select("doc_id", "source"), meta(spark, sf_dir), "doc_id", clauses)
 
 
