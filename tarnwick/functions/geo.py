@@ -16,11 +16,11 @@ def _c(x: str | Column | float) -> Column:
 
 
 def haversine(lon1, lat1, lon2, lat2, radius: float = EARTH_KM) -> Column:
-    """Great-circle distance in the unit of `radius`."""
+    """Great-circle distance in the unit of `radius`; null where a coordinate is."""
     a1, a2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     half_lat, half_lon = (a2 - a1) / 2, F.radians(_c(lon2) - _c(lon1)) / 2
     h = F.pow(F.sin(half_lat), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin(half_lon), 2)
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def in_box(lon, lat, west: float, south: float, east: float, north: float) -> Column:
