@@ -7,10 +7,11 @@ than 0.9999999. Every candidate is then verified on the shingle sets themselves.
 
 Rows of equal shingle sets are collapsed first. Each member of a band meets three representatives of it: the
 first row, and the first and the last in the order of a hash of the row. So candidates grow with the rows of a band, however
-dense it is, and a representative that isn't similar is replaced in bands it doesn't belong to: a
-pair shares eight of the 25 bands on average at 0.8. A bit of each minimum keeps pairs far from
-0.8 out: a pair at 0.8 differs in 12.5 of 125 bits on average and is let through up to
-`FAR`, almost six standard deviations more.
+dense it is. What representatives leave apart is settled exactly: of bands whose rows then aren't all in
+one component, the rows of different components meet in blocks of about `BLOCK` by `BLOCK` rows, dealt by a hash, so
+that no group is taken whole by one task. A block leaves nothing but links between components.
+A bit of each minimum keeps pairs far from 0.8 out: a pair at 0.8 differs in 12.5 of 125 bits on average and is let
+through up to `FAR`, almost six standard deviations more.
 
 Defined cases: words are lowered as in `near_dup`; a text of fewer words than a shingle is one
 shingle; null and empty texts and those of white space only are copies of each other. Sets hold 32 of
@@ -37,6 +38,10 @@ BANDS, ROWS = 25, 5
 FAR = 32
 #: Shingles taken at a time.
 STEP = 1 << 12
+#: In bands of so many rows every pair has met by representatives.
+MET = 3
+#: Rows and shingles on each side of a block, about; a heavier band is dealt to more blocks.
+BLOCK, WEIGHT = 1 << 10, 1 << 20
 
 _draw = np.random.default_rng(42)
 _FACTORS = _draw.integers(0, 2**63, 64, dtype=np.uint64) * 2 + 1
@@ -125,6 +130,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return links
 
 
+def _apart(keys: DataFrame, runs: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, row, n, bits_a, bits_b, root, parts): the bands whose rows aren't all in one component."""
+    dense = runs.filter(f"size > {MET}").select("key", F.expr(f"cast(greatest(1, ceil(size / {BLOCK}), ceil(weight / {WEIGHT})) as int)").alias("parts"))
+    rows = keys.join(dense, "key").join(comps.select(F.col("node").alias("row"), "root"), "row", "left")
+    rows = materialise(rows.withColumn("root", F.coalesce("root", "row")), "dense")
+    mixed = materialise(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"), "mixed")
+    apart = materialise(rows.join(mixed, "key"), "apart")
+    release(rows, mixed)
+    return apart
+
+
+def _close(group: pa.Table, least: float):
+    """(i, those of the rows behind it that may be similar and are of another component) for each row i of a block."""
+    n, a, b, root, part = (group.column(c).to_numpy() for c in ("n", "bits_a", "bits_b", "root", "part"))
+    # the count of a negative number's bits would be that of its absolute value
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        far = np.bitwise_count(a[rest] ^ a[i]).astype(np.int64) + np.bitwise_count(b[rest] ^ b[i])
+        fits = (far <= FAR) & (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= least * np.maximum(n[rest], n[i]))
+        if across:
+            fits &= part[rest] != part[i]
+        hits = np.flatnonzero(fits) + i + 1
+        if len(hits):
+            yield i, hits
+
+
+_BLOCK = "key long, i int, j int, part int, row long, root long, n int, bits_a long, bits_b long"
+
+
+def _crossing(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between components among the rows of `apart`, as forests of blocks."""
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    rows = apart.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+
+    def candidates(group: pa.Table) -> pa.Table:
+        active = np.zeros(group.num_rows, bool)
+        for i, hits in _close(group, least):
+            active[i] = True
+            active[hits] = True
+        return group.filter(pa.array(active))
+
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+    near = materialise(rows.select(*names).groupBy("key", "i", "j").applyInArrow(candidates, _BLOCK), "near")
+
+    def links(group: pa.Table) -> pa.Table:
+        key, root = group.column("key")[0].as_py(), group.column("root").to_numpy()
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        own = [np.frombuffer(x, np.uint32) for x in group.column("hashes").to_pylist()]
+        head: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in head:
+                x = head[x]
+            return x
+
+        found = []
+        for i, hits in _close(group, least):
+            # a pair is compared in the first band it shares
+            first = (bands[hits] == bands[i]).argmax(1)
+            for j in hits[bands[i][first] == key].tolist():
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x == y:
+                    continue
+                shared = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if shared >= least * (len(own[i]) + len(own[j]) - shared):
+                    head[max(x, y)] = min(x, y)
+                    found.append((int(root[i]), int(root[j])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    wanted = materialise(sets.join(near.select("row").distinct(), "row", "left_semi").select("row", "bands", "hashes"), "sets")
+    out = materialise(near.join(wanted, "row").groupBy("key", "i", "j").applyInArrow(links, "a long, b long").distinct(), "crossing")
+    release(near, wanted)
+    return out
+
+
 def _grouped(docs: DataFrame, *, id_col: str, text_col: str, least: float) -> DataFrame:
     """(doc_id, mark, fp, component_id, root) for each row of `docs`."""
     rows = materialise(sketches(docs, id_col=id_col, text_col=text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -134,17 +217,22 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, least: float) -> Da
     member = ("row", "n", "bits_a", "bits_b")
     shuffled = F.struct(F.xxhash64("row").alias("h"), *member)
     reps = [F.min(F.struct(*member)), F.min(shuffled), F.max(shuffled)]
-    runs = keys.groupBy("key").agg(F.count("*").alias("size"), *(r.alias(f"r{i}") for i, r in enumerate(reps))).filter("size > 1")
+    runs = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), *(r.alias(f"r{i}") for i, r in enumerate(reps))).filter("size > 1")
     # a written table is a plain side of the join, which Spark can split on the other
-    runs = materialise(runs.select("key", F.array(*(F.struct(*(f"r{i}.{m}" for m in member)) for i in range(len(reps)))).alias("reps")), "runs")
+    runs = materialise(runs.select("key", "size", "weight", F.array(*(F.struct(*(f"r{i}.{m}" for m in member)) for i in range(len(reps)))).alias("reps")), "runs")
     met = keys.join(runs, "key").select(*member, F.explode("reps").alias("rep")).filter("row != rep.row")
     sized = f"least(n, rep.n) >= {least} * greatest(n, rep.n)"
     far = f"bit_count(bits_a ^ rep.bits_a) + bit_count(bits_b ^ rep.bits_b) <= {FAR}"
     pairs = met.filter(f"{sized} and {far}").select(F.least("row", "rep.row").alias("a"), F.greatest("row", "rep.row").alias("b")).distinct()
     links = _verified(pairs, rows, least)
+    found = components(links)
+    apart = _apart(keys, runs, found)
     release(keys, runs)
-    found = components(links).select(F.col("node").alias("row"), "root")
-    rooted = whole.join(found, "row", "left").select("content", "first", F.coalesce("root", "row").alias("root"))
+    rooted = whole.join(found.select(F.col("node").alias("row"), "root"), "row", "left").select("content", "first", F.coalesce("root", "row").alias("root"))
+    if not apart.isEmpty():
+        further = components(_crossing(apart, rows, least)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rooted = rooted.join(further, "root", "left").select("content", "first", F.coalesce("top", "root").alias("root"))
+    release(apart)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(smallest, "root").select("content", "component_id", "root")
     return rows.select("doc_id", "mark", "content").join(of, "content").select("doc_id", "mark", F.col("content").alias("fp"), "component_id", "root")

@@ -46,3 +46,40 @@ def test_empty_tables_and_null_ids(spark):
     frame = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (2, "a b c"), (3, "A b  c")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in n.keep_one(frame).collect()) == ["2", "None", "None"]
     assert n.keep_one(frame.limit(0)).count() == 0
+
+
+def dense(groups, copies, seed=5):
+    """Texts of 200 words that share all but a passage of 25; those of a group differ in a few words."""
+    rng = random.Random(seed)
+    base, docs = [f"b{i}" for i in range(200)], []
+    for g in range(groups):
+        words = [*base[:90], *(f"g{g}x{i}" for i in range(25)), *base[115:]]
+        for _ in range(copies):
+            copy = list(words)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(200)] = f"r{rng.random()}"
+            docs.append((len(docs), " ".join(copy)))
+    return docs
+
+
+def test_dense_bands_without_representatives(spark, monkeypatch):
+    # no pair has met and no link is known before, and a band falls into many blocks
+    monkeypatch.setattr(n, "MET", 1)
+    monkeypatch.setattr(n, "BLOCK", 7)
+    docs = dense(20, 6)
+    rows = n.materialise(n.sketches(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("row", n.F.col("doc_id")))
+    keys = n.materialise(rows.select("row", "n", "bits_a", "bits_b", n.F.explode("bands").alias("key")))
+    runs = n.materialise(keys.groupBy("key").agg(n.F.count("*").alias("size"), n.F.sum("n").alias("weight")))
+    apart = n._apart(keys, runs, spark.createDataFrame([], "node long, root long"))
+    assert apart.agg(n.F.max("parts")).first()[0] > 3
+    links = n._crossing(apart, rows, 0.8)
+    root = {r.node: r.root for r in n.components(links).collect()}
+    want, pairs = n.brute_force(docs)
+    assert len(set(want.values())) > 15 and {(r.a, r.b) if r.a < r.b else (r.b, r.a) for r in links.collect()} <= pairs
+    assert {d: root.get(d, d) for d in want} == want
+
+
+def test_dense_bands_against_brute_force(spark):
+    docs = dense(60, 3)
+    want, _ = n.brute_force(docs)
+    assert {r.doc_id: r.component_id for r in n.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
