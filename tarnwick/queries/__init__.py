@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tarnwick.queries import areas, articles, catalog, filters, flows, geography, ingest, lists, locations, mentions, names, occurrences, operations, persons, reconciled, resolution  # noqa: F401
+    from tarnwick.queries import areas, articles, catalog, components, filters, flows, geography, ingest, lists, locations, mentions, names, occurrences, operations, persons, reconciled, resolution  # noqa: F401
