@@ -11,6 +11,8 @@ from tarnwick.session import materialise
 
 #: The finest level of cells: each halves both axes.
 FINEST = 12
+#: What a box is widened by, in degrees, for the rounding of its sides.
+SLIP = 1e-9
 
 
 def _cell(value, low: float, width: float, side):
@@ -20,31 +22,41 @@ def _cell(value, low: float, width: float, side):
 def points_within(points: DataFrame, shapes: DataFrame, point: str, key: str, geometry: str, *, lon: str = "lon", lat: str = "lat", km: float = 0.0) -> DataFrame:
     """(point, key, km): the points within `km` of a shape, with their distance from it.
 
-    A shape is covered by a few cells of a level that suits its box; a point is in one cell of each level in use, 13 at most. So
-    the pairs that are tested meet by an equality join, which Spark can split where a cell is busy. Null and broken geometry meets nothing.
+    Equal geometries are one shape and points of equal coordinates one spot, so that copies are tested once and met again in the result.
+    A shape is covered by a few cells of a level that suits its box; a spot is in one cell of each level in use, 13 at most. So
+    the pairs that are tested meet by an equality join, which Spark can split where a cell is busy; the box is asked before the edges are.
+    Null and broken geometry meets nothing.
     """
     # written once: a shape is read from its text once, and levels and cells come from the same
-    s = materialise(shapes.select(key, g.shape(geometry).alias("s")).filter("s is not null"), "shapes")
+    texts = shapes.select(F.col(geometry).alias("__g")).filter("__g is not null").distinct()
+    known = materialise(texts.withColumn("__id", F.monotonically_increasing_id()).withColumn("s", g.shape("__g")).filter("s is not null"), "shapes")
+    members = materialise(shapes.select(key, F.col(geometry).alias("__g")).join(known.select("__g", "__id"), "__g").select(key, "__id"), "members")
+    s = known.select("__id", "s")
     high = F.lit(km / g.DEGREE_KM)
     widest = F.least(F.greatest(F.abs(F.col("s.south") - high), F.abs(F.col("s.north") + high)), F.lit(89.0))
     wide = F.when(F.lit(km) > 0, high / F.cos(F.radians(widest))).otherwise(0.0)
     # near a pole, or across the antimeridian, a reach takes in the whole parallel
     around = (F.col("s.west") - wide < -180) | (F.col("s.east") + wide > 180)
     west, east = F.when(around, -180.0).otherwise(F.col("s.west") - wide), F.when(around, 180.0).otherwise(F.col("s.east") + wide)
-    s = s.select(key, "s", west.alias("w"), east.alias("e"), (F.col("s.south") - high).alias("b"), (F.col("s.north") + high).alias("t"))
+    s = s.select("__id", "s", west.alias("w"), east.alias("e"), (F.col("s.south") - high).alias("b"), (F.col("s.north") + high).alias("t"))
     fit = F.least(F.lit(360.0) / F.greatest(F.col("e") - F.col("w"), F.lit(1e-9)), F.lit(180.0) / F.greatest(F.col("t") - F.col("b"), F.lit(1e-9)))
     s = s.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(fit)))).cast("int"))
     side = F.expr("shiftleft(1L, level)")
     xs = F.sequence(_cell(F.col("w"), -180.0, 360.0, side), _cell(F.col("e"), -180.0, 360.0, side))
     ys = F.sequence(_cell(F.col("b"), -90.0, 180.0, side), _cell(F.col("t"), -90.0, 180.0, side))
-    s = materialise(s.select(key, "s", "level", F.explode(xs).alias("x"), ys.alias("ys")).select(key, "s", "level", "x", F.explode("ys").alias("y")), "cells")
-    levels = [F.struct(F.lit(n).alias("level"), _cell(F.col(lon), -180.0, 360.0, F.lit(1 << n)).alias("x"), _cell(F.col(lat), -90.0, 180.0, F.lit(1 << n)).alias("y")) for n in range(FINEST + 1)]
+    box = ("__id", "s", "w", "e", "b", "t", "level")
+    s = materialise(s.select(*box, F.explode(xs).alias("x"), ys.alias("ys")).select(*box, "x", F.explode("ys").alias("y")), "cells")
+    levels = [F.struct(F.lit(n).alias("level"), _cell(F.col("__lon"), -180.0, 360.0, F.lit(1 << n)).alias("x"), _cell(F.col("__lat"), -90.0, 180.0, F.lit(1 << n)).alias("y")) for n in range(FINEST + 1)]
     used = [r.level for r in s.select("level").distinct().collect()]  # 13 at most
     cells = F.array(*(levels[n] for n in sorted(used or [0])))
-    p = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    p = p.select(point, F.col(lon).alias("__lon"), F.col(lat).alias("__lat"), F.explode(cells).alias("c")).select(point, "__lon", "__lat", "c.*")
-    met = p.join(s, ["level", "x", "y"]).withColumn("km", g.distance_km(F.col("s"), "__lon", "__lat"))
-    return met.filter(F.col("km") <= km).select(point, key, "km")
+    p = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(point, F.col(lon).alias("__lon"), F.col(lat).alias("__lat"))
+    spots = p.select("__lon", "__lat").distinct().select("__lon", "__lat", F.explode(cells).alias("c")).select("__lon", "__lat", "c.*")
+    clamped = lambda c, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c)))
+    boxed = clamped("__lon", 180.0).between(F.col("w") - SLIP, F.col("e") + SLIP) & clamped("__lat", 90.0).between(F.col("b") - SLIP, F.col("t") + SLIP)
+    met = spots.join(s, ["level", "x", "y"]).filter(boxed).withColumn("km", g.distance_km(F.col("s"), "__lon", "__lat"))
+    # written, so that the distances are reckoned once and both joins behind them are plain
+    met = materialise(met.filter(F.col("km") <= km).select("__lon", "__lat", "__id", "km"), "met")
+    return met.join(members, "__id").join(p, ["__lon", "__lat"]).select(point, key, "km")
 
 
 def near_place(shapes: DataFrame, geometry: str, lon: float, lat: float, km: float) -> DataFrame:

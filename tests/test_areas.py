@@ -95,3 +95,14 @@ def test_distant_linked(spark, shapes):
     point = lambda x, y: json.dumps({"type": "Point", "coordinates": [x, y]})
     linked = spark.createDataFrame([(1, point(5, 5)), (1, point(40, 5)), (1, point(9, 9)), (1, None), (4, point(3, 3)), (4, point(3, 5)), (2, point(100, 0)), (2, point(-100, 0))], "id long, geometry string")
     assert sorted(map(tuple, areas.distant_linked(shapes, linked, "id", "geometry").collect())) == [(1, 1), (2, 2), (4, 1)]
+
+
+def test_copies_of_points_and_shapes_are_tested_once(spark, shapes, monkeypatch):
+    written = {}
+    monkeypatch.setattr(areas, "materialise", lambda df, name="t", keep=areas.materialise: written.setdefault(name, keep(df, name)))
+    copies = shapes.select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("c"), "id", "geometry").selectExpr("id + 100 * c as id", "geometry")
+    points = spark.createDataFrame([(i, *at) for i in range(30) for at in ((2.0, 2.5), (5.0, 5.0), (300.0, 0.0))], "p long, lon double, lat double")
+    got = areas.points_within(points, copies, "p", "id", "geometry").collect()
+    assert len(got) == 20 * 30 * 3  # (2, 2.5) lies in both squares, (5, 5) on the line
+    assert {r.id % 100 for r in got} == {1, 2, 3} and all(r.km == 0 for r in got)
+    assert written["shapes"].count() == 6 and written["met"].count() == 3
