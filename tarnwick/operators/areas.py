@@ -70,14 +70,25 @@ def in_box(shapes: DataFrame, geometry: str, west: float, south: float, east: fl
     return shapes.filter(g.touches_box(g.shape(geometry), west, south, east, north))
 
 
-def distant_linked(places: DataFrame, linked: DataFrame, key: str, geometry: str) -> DataFrame:
+def distant_linked(places: DataFrame, linked: DataFrame, key: str, geometry: str, by: str | None = None) -> DataFrame:
     """(key, distant): of each place how many linked geometries lie beyond its reach and not within it; places with none are left out.
 
-    Both frames have (key, geometry). Reach is the larger of 150 km and one and a half diagonals, from centre to centre.
+    `places` has (key, geometry) and `linked` (by, geometry): what is linked to all places of one `by`, a column of `places` too,
+    is given once; it is the key unless named. Reach is the larger of 150 km and one and a half diagonals, from centre to centre.
+    Equal geometries of one `by` are read and compared once, and counted as often as they stand.
     """
-    p = places.select(key, g.shape(geometry).alias("p")).filter("p is not null")
-    q = linked.select(key, g.shape(geometry).alias("q")).filter("q is not null")
-    a, b = g.centre(F.col("p")), g.centre(F.col("q"))
-    far = haversine(a["lon"], a["lat"], b["lon"], b["lat"]) > g.reach_km(F.col("p"))
-    covered = F.forall(F.col("q.edges"), lambda e: g.inside(F.col("p"), e["x1"], e["y1"]))
-    return p.join(q, key).filter(far & ~F.coalesce(covered, F.lit(False))).groupBy(key).agg(F.count("*").alias("distant"))
+    tie = by or key
+    one = places.select(F.col(tie).alias("__by"), F.col(geometry).alias("__g"), F.col(key).alias("__key")).filter("__g is not null")
+    # written once: shapes, centres and reaches are reckoned for each geometry, not for each pair
+    p = one.select("__by", "__g").distinct().withColumn("__id", F.monotonically_increasing_id()).withColumn("p", g.shape("__g")).filter("p is not null")
+    p = materialise(p, "places")
+    q = linked.select(F.col(tie).alias("__by"), F.col(geometry).alias("__g")).filter("__g is not null").groupBy("__by", "__g").agg(F.count("*").alias("n"))
+    q = materialise(q.select("__by", "n", g.shape("__g").alias("q")).filter("q is not null"), "linked")
+    q = materialise(q.select("__by", "n", g.centre(F.col("q")).alias("b"), F.col("q.edges").alias("edges"), F.get("q.edges", F.lit(0)).alias("first")), "centres")
+    kinds = materialise(p.select("__by", "__id", "p", g.centre(F.col("p")).alias("a"), g.reach_km(F.col("p")).alias("reach")), "reaches")
+    far = haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) > F.col("reach")
+    begins = F.col("first.x1").between(F.col("p.west"), F.col("p.east")) & F.col("first.y1").between(F.col("p.south"), F.col("p.north"))
+    covered = F.when(begins, F.forall("edges", lambda e: g.inside(F.col("p"), e["x1"], e["y1"]))).otherwise(False)
+    counts = kinds.join(q, "__by").filter(far & ~F.coalesce(covered, F.lit(False))).groupBy("__id").agg(F.sum("n").alias("distant"))
+    members = one.join(p.select("__by", "__g", "__id"), ["__by", "__g"]).select("__key", "__id")
+    return members.join(counts, "__id").groupBy(F.col("__key").alias(key)).agg(F.sum("distant").alias("distant"))

@@ -35,9 +35,9 @@ def triangles(spark, sf_dir):
     return s.select("s_suppkey", "s_nationkey", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geometry"))
 
 
-def points(spark, sf_dir):
+def points(spark, sf_dir, *further):
     c = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", (c * 53 % 360 - 180 + 0.3).cast("double").alias("lon"), (c * 29 % 160 - 80 + 0.4).cast("double").alias("lat"))
+    return table(spark, sf_dir, "customer").select("c_custkey", *further, (c * 53 % 360 - 180 + 0.3).cast("double").alias("lon"), (c * 29 % 160 - 80 + 0.4).cast("double").alias("lat"))
 
 
 @query(f"select c_custkey, s_suppkey from {_TRIANGLES}, {_POINTS} where {_IN}")
@@ -67,8 +67,6 @@ def _hav(x1: str, y1: str, x2: str, y2: str) -> str:
 )
 def distant_linked_counts(spark, sf_dir):
     """Of every supplier's area how many customers of its nation lie beyond its reach."""
-    at = points(spark, sf_dir).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
-    own = triangles(spark, sf_dir)
-    linked = at.join(own.select("s_suppkey", "s_nationkey"), F.col("c_nationkey") == F.col("s_nationkey"))
-    linked = linked.select("s_suppkey", F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))).alias("geometry"))
-    return areas.distant_linked(own, linked, "s_suppkey", "geometry")
+    at = points(spark, sf_dir, "c_nationkey").withColumnRenamed("c_nationkey", "s_nationkey")
+    linked = at.select("s_nationkey", F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))).alias("geometry"))
+    return areas.distant_linked(triangles(spark, sf_dir), linked, "s_suppkey", "geometry", by="s_nationkey")

@@ -106,3 +106,14 @@ def test_copies_of_points_and_shapes_are_tested_once(spark, shapes, monkeypatch)
     assert len(got) == 20 * 30 * 3  # (2, 2.5) lies in both squares, (5, 5) on the line
     assert {r.id % 100 for r in got} == {1, 2, 3} and all(r.km == 0 for r in got)
     assert written["shapes"].count() == 6 and written["met"].count() == 3
+
+
+def test_distant_linked_of_a_group(spark, shapes):
+    """What is linked to all places of a group is given once, and copies count as often as they stand."""
+    point = lambda x, y: json.dumps({"type": "Point", "coordinates": [x, y]})
+    places = shapes.select("id", (F.col("id") % 2).alias("grp"), "geometry").unionByName(shapes.filter("id = 1").selectExpr("101 as id", "1 as grp", "geometry"))
+    linked = spark.createDataFrame([(1, point(5, 5)), (1, point(40, 5)), (1, point(40, 5)), (1, point(9, 9)), (1, None), (0, point(100, 0))], "grp long, geometry string")
+    got = dict(map(tuple, areas.distant_linked(places, linked, "id", "geometry", by="grp").collect()))
+    each = places.join(linked.withColumnRenamed("geometry", "g"), "grp").select("id", F.col("g").alias("geometry"))
+    assert got == dict(map(tuple, areas.distant_linked(places, each, "id", "geometry").collect()))
+    assert got[1] == got[101] == 2 and got[2] == got[4] == 1
