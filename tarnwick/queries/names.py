@@ -205,7 +205,7 @@ def semantic_articles(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
     vec = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vec.filter("vec_id = 1").limit(1).select(F.col("embedding").alias("e"))
+    asked = vec.filter("vec_id = 1").select(F.col("embedding").alias("e"))
     rows = docs.join(vec, "vec_id").join(F.broadcast(asked), how="cross").select(F.col("vec_id").alias("doc_id"), F.round(vectors.cosine("embedding", "e"), 5).alias("score"))
     return page(rows, [F.desc("score"), F.desc("doc_id")], 15)
 
