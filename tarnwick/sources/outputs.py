@@ -28,7 +28,8 @@ def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").option("maxRecordsPerFile", SHARD_ROWS).json(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    manifest(spark, path, list(tables)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    # a shuffle of the manifest's rows: without one a single task would read all files
+    manifest(spark, path, list(tables)).repartition(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def manifest(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
