@@ -113,8 +113,10 @@ def _candidates(represented: DataFrame, keys: Column, generic: bool, floor: floa
     tokens_ = text.tokens(text.fold_key("label"))
     own = F.filter(tokens_, lambda w: ~w.isin(*GENERIC)) if generic else tokens_
     sets = F.array(F.struct(F.lit("t").alias("kind"), own.alias("set")), F.struct(F.lit("g").alias("kind"), text.trigrams(text.fold_key("label")).alias("set")))
-    r = represented.filter("id = rep").select("id", "label", F.explode(keys).alias("key"), sets.alias("sets"))
-    r = r.select("id", "label", "key", F.inline("sets")).withColumn("set", F.when(F.size("set") == 0, F.array(F.lit(""))).otherwise(F.col("set")))
+    r = represented.filter("id = rep").select("id", "label", F.explode(keys).alias("key"))
+    # a key of one representative, as most are, joins nothing: it goes before its sets are made
+    r = r.join(r.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
+    r = r.select("id", "key", F.inline(sets)).withColumn("set", F.when(F.size("set") == 0, F.array(F.lit(""))).otherwise(F.col("set")))
     each = r.select("id", "key", "kind", F.explode("set").alias("x"))
     ranked = each.join(each.groupBy("key", "kind", "x").agg(F.count("*").alias("df")), ["key", "kind", "x"])
     ranked = ranked.groupBy("id", "key", "kind").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("order"))
