@@ -10,7 +10,7 @@ from tarnwick.operators import connections as k
 from tarnwick.operators import duplicates as d
 from tarnwick.operators import runs
 from tarnwick.queries import query
-from tarnwick.session import table
+from tarnwick.session import spread, table
 
 _PLACE = "case p_partkey % 4 when 0 then 'Ward ' || p_size || ', Chicago, IL 60601' when 1 then p_size || 'th Precinct, Boston, MA, USA' when 2 then 'District No. ' || p_size || ', Paris' else 'North ' || p_name end"
 
@@ -81,7 +81,9 @@ def person_duplicates(spark, sf_dir):
     " select article, from_id, to_id, round(confidence, 4) as confidence, quote from t where k <= 20"
 )
 def auto_connections(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_discount", "l_quantity")
+    # dealt once by the article: the join and both choices within it stay where they are
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(spread(item, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     proposed = rows.selectExpr(
         "o_orderkey as article", "'customer' as from_type", "o_custkey as from_id", "'supplier' as to_type", "l_suppkey as to_id", "case when l_linenumber % 2 = 0 then 'buys' else 'visits' end as nature", "1 - l_discount as confidence", "case when l_quantity < 45 then concat('q', l_linenumber) end as quote"
     )
