@@ -33,8 +33,7 @@ def subsumed(edges: DataFrame, weaker: DataFrame) -> DataFrame:
 def in_order(connections: DataFrame, node: str, limit: int) -> DataFrame:
     """(node, other_type, other_id, label) with `place`: the first `limit` connections of each node by the other end's label, type and id."""
     order = [F.lower("label"), F.col("other_type"), F.col("other_id")]
-    first = per_group(connections, [node], order, limit)
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(node).orderBy(*order)))
+    return connections.withColumn("place", F.row_number().over(Window.partitionBy(node).orderBy(*order))).filter(F.col("place") <= limit)
 
 
 def affiliations(people: DataFrame, organizations: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from tarnwick.operators import articles as a
 from tarnwick.operators import connections as k
 from tarnwick.operators import mentions as m
 from tarnwick.queries import query
-from tarnwick.session import table
+from tarnwick.session import spread, table
 
 _ARMS = """arms as (
   select l_orderkey as article, l_partkey as entity, l_returnflag as nature, l_linestatus = 'F' as active, 'part' as kind from lineitem
@@ -117,7 +117,10 @@ def edges_bidirectional(spark, sf_dir):
 
 
 def _trade(spark, sf_dir):
-    pairs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).distinct()
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    n = item.count()
+    pairs = table(spark, sf_dir, "orders").join(spread(item, "l_orderkey", rows=n), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s"))
+    pairs = spread(pairs, "c", "s", rows=n).distinct()
     ahead = pairs.filter("(c + s) % 2 = 0").selectExpr("'customer' as from_type", "c as from_id", "'supplier' as to_type", "s as to_id")
     return ahead.unionByName(pairs.filter("(c + s) % 2 = 1").selectExpr("'supplier' as from_type", "s as from_id", "'customer' as to_type", "c as to_id"))
 
@@ -132,7 +135,9 @@ def connections_in_order(spark, sf_dir):
     out = e.filter("from_type = 'supplier'").selectExpr("from_id as node", "to_id as other_id", "to_type as other_type")
     both = out.unionByName(e.filter("to_type = 'supplier'").selectExpr("to_id as node", "from_id as other_id", "from_type as other_type"))
     labels = table(spark, sf_dir, "customer").selectExpr("'customer' as other_type", "c_custkey as other_id", "c_name as label")
-    rows = k.in_order(both.join(labels, ["other_type", "other_id"]), "node", 10)
+    n = table(spark, sf_dir, "lineitem").count()
+    named = spread(both, "other_type", "other_id", rows=n).join(labels, ["other_type", "other_id"])
+    rows = k.in_order(spread(named, "node", rows=n), "node", 10)
     return rows.select(F.col("node").alias("s_suppkey"), F.col("other_id").alias("c_custkey"), "place")
 
 
