@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.session import spread
 
 def arms(**kinds: DataFrame) -> DataFrame:
     """The union of mention tables (article, entity, nature, active) with their kind."""
@@ -31,7 +32,8 @@ def timeline(mentions: DataFrame, date: str) -> DataFrame:
 def hub(articles: DataFrame, mentions: DataFrame, kinds: list[str]) -> DataFrame:
     """For each article the active mentions and different entities of each kind, zeros included."""
     # a row for each article, kind and entity first: then plain sums do, where several distinct counts would multiply the rows
-    each = mentions.filter("active").groupBy("article", "kind", "entity").agg(F.count("*").alias("n"))
+    # all of it within articles, which are dealt once
+    each = spread(mentions.filter("active"), "article").groupBy("article", "kind", "entity").agg(F.count("*").alias("n"))
     sums = []
     for k in kinds:
         mine = F.col("kind") == k
