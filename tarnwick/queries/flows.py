@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.plans import flow
 from tarnwick.queries import query
-from tarnwick.session import shared_dir, table
+from tarnwick.session import ROWS_A_TASK, shared_dir, table
 from tarnwick.sources import documents, outputs
 from tarnwick.streaming import events as stream
 
@@ -80,12 +80,16 @@ def replace_partitions(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir):
-    """The events as a stream of several micro-batches: four writes, each with a part of every hour, so old rows come after new ones."""
+    """The events as a stream of four micro-batches, however large: four writes, each with a part of every hour, so old rows come after new ones.
+
+    A write has as many files as keep each to some `ROWS_A_TASK` rows, and a micro-batch takes the files of one write.
+    """
     path = _folder(spark)
     events = table(spark, sf_dir, "events")
+    files = events.count() // (4 * ROWS_A_TASK) + 1
     for part in (2, 0, 3, 1):
-        events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == part).write.mode("append").parquet(f"{path}/events.parquet")
-    return stream.read(spark, path)
+        events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == part).repartition(files).write.mode("append").parquet(f"{path}/events.parquet")
+    return stream.read(spark, path, files_per_trigger=files)
 
 
 @query("select time_bucket(interval '1 day', ts) as start, event_type, cast(count(*) as bigint) as events, round(sum(value), 4) as value from events group by 1, 2")

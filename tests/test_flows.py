@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.plans import flow
+from tarnwick.queries import flows
 from tarnwick.sources import documents, outputs
 from tarnwick.streaming import events as stream
 
@@ -60,3 +61,14 @@ def test_merge_runs_again_after_a_failure(spark, tmp_path):
     merge(batch([(2, "b", "2"), (6, "a", "6")]), 2)
     assert {r.k: r.v for r in spark.read.parquet(f"file://{tmp_path}/t/v2").collect()} == {"a": "6", "b": "4", "c": "5"}
     assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v1", "v2"]
+
+
+@pytest.mark.parametrize("rows_a_task", [500_000, 100])
+def test_arrivals_are_four_micro_batches_however_many_files(spark, tmp_path, monkeypatch, rows_a_task):
+    monkeypatch.setattr(flows, "ROWS_A_TASK", rows_a_task)
+    rows = spark.range(2000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 7 as user_id")
+    rows.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    q = flows._arrivals(spark, str(tmp_path)).writeStream.foreachBatch(lambda df, n: seen.append(df.count()))
+    q.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sum(seen) == 2000 and all(n > 300 for n in seen)
