@@ -76,3 +76,31 @@ def test_time_follows_the_length():
 
     seconds(2000)
     assert seconds(80_000) < 60 * max(seconds(8_000), 0.005)
+
+
+def test_plain_texts_are_searched_as_their_normalised_copies():
+    rng = random.Random(4)
+    alphabet = ["a", "b", " ", "\n", " ", "\\", "n", "t", "\\n", "“", '"', "`", "’", "–", "é", "̣", "́", "´", "q̣", "\x01", "\x1c", "\U0001f642"]
+    plain = found = 0
+    for _ in range(6000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 24)))
+        copy = o.normalised(text)
+        if (whole := o._joined(text)) is not None:
+            plain += 1
+            assert whole == copy[0]
+        for k in (1, 2, 3):
+            if needle := o.normalised("".join(rng.choices(alphabet, k=k)))[0]:
+                for words in (False, True):
+                    want = o._places(copy, needle, words)
+                    assert o._searched(text)(needle, words) == want
+                    found += len(want)
+    assert plain > 2000 and found > 5000
+
+
+def test_a_plain_text_costs_less_than_its_normalised_copy():
+    text = "Ein längerer Text – mit „Zeichen“ und\n  Zeilen. " * 20_000
+    begun = time.process_time()
+    places = o._searched(text)("und Zeilen.", False)
+    middle = time.process_time()
+    assert places == o._places(o.normalised(text), "und Zeilen.", False)
+    assert 2 * (middle - begun) < time.process_time() - middle
