@@ -1,9 +1,10 @@
 """Near copies by the overlap of five-word shingles: every link has a Jaccard similarity of 0.8 or more.
 
-Fingerprints of 64 bits can't find them: at a similarity of 0.8 about ten bits differ, and segments
-of so few bits select nothing. So candidates share a band of minima instead: 25 bands of five
-minima each, which a pair at 0.8 shares with a probability of 0.99995 and one at 0.9 with more
-than 0.9999999. Every candidate is then verified on the shingle sets themselves.
+Candidates come from deletion-variant signatures, as in `near_dup`, but of minima in place of bits: at a similarity of 0.8
+about ten of 64 bits differ, and segments of so few bits select nothing. A signature is 54 minima in nine segments of six.
+Of a segment each position in turn is blanked, which makes six keys, so two texts share a key
+(a band, below) where a segment differs in one minimum at most. A pair at 0.8 does in one segment or more with a
+probability of 0.99993, one at 0.9 with more than 0.99999998. Every candidate is then verified on the shingle sets themselves.
 
 Rows of equal shingle sets are collapsed first. Each member of a band meets three representatives of it: the
 first row, and the first and the last in the order of a hash of the row. So candidates grow with the rows of a band, however
@@ -33,8 +34,13 @@ from tarnwick.session import materialise, release
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
-#: Of BANDS * ROWS bits as many may differ.
+#: Segments of a signature, and minima of each, of which one is blanked.
+SEGMENTS, LENGTH = 9, 6
+#: Keys of a signature.
+BANDS = SEGMENTS * LENGTH
+#: All minima of a set, of which the first make up its signature and each gives a bit.
+MINIMA = 125
+#: Of these bits as many may differ.
 FAR = 32
 #: Shingles taken at a time.
 STEP = 1 << 12
@@ -45,8 +51,8 @@ BLOCK, WEIGHT = 1 << 10, 1 << 20
 
 _draw = np.random.default_rng(42)
 _FACTORS = _draw.integers(0, 2**63, 64, dtype=np.uint64) * 2 + 1
-_TIMES = (_draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * 2 + 1)[:, None]
-_PLUS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None]
+_TIMES = (_draw.integers(0, 2**63, MINIMA, dtype=np.uint64) * 2 + 1)[:, None]
+_PLUS = _draw.integers(0, 2**63, MINIMA, dtype=np.uint64)[:, None]
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -71,17 +77,23 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """For each of BANDS * ROWS orders the smallest element of a set that isn't empty."""
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    """For each of MINIMA orders the smallest element of a set that isn't empty."""
+    low = np.full(MINIMA, 2**64 - 1, np.uint64)
     for start in range(0, len(hashes), STEP):
         np.minimum(low, (hashes[start : start + STEP] * _TIMES + _PLUS).min(1), out=low)
     return low
 
 
+def variants(low: np.ndarray) -> np.ndarray:
+    """The BANDS keys of minima: of each segment one for each position, which is left out; the position is part of the key."""
+    weighted = low[:BANDS].reshape(SEGMENTS, LENGTH) * _FACTORS[:LENGTH]
+    blanked = weighted.sum(1, dtype=np.uint64)[:, None] - weighted
+    return _mixed(blanked.ravel() + np.arange(BANDS, dtype=np.uint64) * _FACTORS[8])
+
+
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, content, n, bits_a, bits_b, bands, hashes) for each row: bands is empty for an empty text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    band = np.arange(BANDS, dtype=np.uint64)
     seen = np.uint64(40)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -93,10 +105,9 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
             if len(h):
                 low = minima(h)
-                packed = np.packbits(np.pad(((low * _MIX) >> seen).astype(np.uint8) & 1, (0, 128 - BANDS * ROWS)))
+                packed = np.packbits(np.pad(((low * _MIX) >> seen).astype(np.uint8) & 1, (0, 128 - MINIMA)))
                 bits.append(packed.view(np.int64))
-                keys = _mixed((low.reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(1, dtype=np.uint64) + band * _FACTORS[8])
-                bands.append(keys.view(np.int64))
+                bands.append(variants(low).view(np.int64))
             else:
                 bits.append(np.zeros(2, np.int64))
                 bands.append(np.zeros(0, np.int64))
@@ -213,7 +224,11 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, least: float) -> Da
     rows = materialise(sketches(docs, id_col=id_col, text_col=text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     whole = materialise(rows.groupBy("content").agg(F.min("row").alias("row"), F.min("doc_id").alias("first")), "contents")
     keys = rows.join(whole.select("row"), "row", "left_semi").select("row", "n", "bits_a", "bits_b", F.explode("bands").alias("key"))
-    keys = materialise(keys, "bands")
+    every = materialise(keys, "bands")
+    # most keys are those of one row: they go before anything but the key is dealt out for them
+    several = materialise(every.groupBy("key").count().filter("count > 1").select("key"), "several")
+    keys = materialise(every.join(several, "key"), "shared")
+    release(every, several)
     member = ("row", "n", "bits_a", "bits_b")
     shuffled = F.struct(F.xxhash64("row").alias("h"), *member)
     reps = [F.min(F.struct(*member)), F.min(shuffled), F.max(shuffled)]

@@ -83,3 +83,16 @@ def test_dense_bands_against_brute_force(spark):
     docs = dense(60, 3)
     want, _ = n.brute_force(docs)
     assert {r.doc_id: r.component_id for r in n.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_signatures_share_a_key_where_a_segment_differs_in_one_minimum():
+    low = n.minima(n.shingles(b"one two three four five six seven eight nine ten"))
+    own = n.variants(low)
+    assert len(set(own.tolist())) == n.SEGMENTS * n.LENGTH
+    one, two = low.copy(), low.copy()
+    one[::n.LENGTH] += n.np.uint64(1)
+    two[::n.LENGTH] += n.np.uint64(1)
+    two[1 :: n.LENGTH] += n.np.uint64(1)
+    # of each segment that differs in one position the key without it is left, and none of one that differs in two
+    assert n.np.flatnonzero(own == n.variants(one)).tolist() == list(range(0, n.SEGMENTS * n.LENGTH, n.LENGTH))
+    assert not (own == n.variants(two)).any()
