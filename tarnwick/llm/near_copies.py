@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.batches import lower_words, map_batches, texts
+from tarnwick.llm.batches import among, lower_words, map_batches, texts
 from tarnwick.llm.near_dup import kept, mark
 from tarnwick.operators.graph import components
 from tarnwick.session import materialise, release
@@ -123,8 +123,9 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of (a, b) those whose sets agree in `least` of their union or more."""
     pairs = materialise(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = materialise(sets.join(ids, "row", "left_semi").select("row", "hashes"), "sets")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row"))
+    # picked without a join, which would shuffle the sets of all rows
+    sets = materialise(among(sets.select("row", "hashes"), ends, "row"), "sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -213,7 +214,7 @@ def _crossing(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     found.append((int(root[i]), int(root[j])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    wanted = materialise(sets.join(near.select("row").distinct(), "row", "left_semi").select("row", "bands", "hashes"), "sets")
+    wanted = materialise(among(sets.select("row", "bands", "hashes"), near.select("row"), "row"), "sets")
     out = materialise(near.join(wanted, "row").groupBy("key", "i", "j").applyInArrow(links, "a long, b long").distinct(), "crossing")
     release(near, wanted)
     return out

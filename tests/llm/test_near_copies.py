@@ -96,3 +96,34 @@ def test_signatures_share_a_key_where_a_segment_differs_in_one_minimum():
     # of each segment that differs in one position the key without it is left, and none of one that differs in two
     assert n.np.flatnonzero(own == n.variants(one)).tolist() == list(range(0, n.SEGMENTS * n.LENGTH, n.LENGTH))
     assert not (own == n.variants(two)).any()
+
+
+def test_sets_are_picked_without_a_shuffle_of_all_rows(spark, monkeypatch):
+    """Sets of candidates come from the table of all rows by a bitmap, also where no side of a join is small enough to broadcast."""
+    monkeypatch.setattr(n, "BLOCK", 8)
+    plans, write = [], n.materialise
+
+    def written(df, name):
+        if name == "sets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(n, "materialise", written)
+    docs = corpus()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: r.component_id for r in n.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = n.brute_force([d for d in docs if (d[1] or "").strip()])[0]
+    assert found == want | {1: 1, 2: 1, 3: 1}
+    assert plans and not any("Exchange" in p for p in plans)
+
+
+def test_rows_are_picked_by_their_ids(spark):
+    rows = spark.range(0, 1 << 36, 1 << 20).select(n.F.col("id").alias("row"), n.F.lit("x").alias("hashes"))
+    ids = spark.range(0, 1 << 36, 1 << 24).select(n.F.col("id").alias("row"))
+    got = [r.row for r in n.among(rows, ids, "row").collect()]
+    assert {r.row for r in ids.collect()} <= set(got) and len(got) == len(set(got)) < 4_500
+    assert n.among(rows, ids.limit(0), "row").count() == 0
