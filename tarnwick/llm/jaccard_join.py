@@ -18,6 +18,10 @@ Equal sets are collapsed before. Then, for each prefix shingle that several sets
    are cut into chunks in order of size, and pairs of chunks whose sizes allow a link are compared
    within a task, exactly, pairs of one component left out. What leaves is a spanning forest of the links.
 
+A set's print has two to four bits for each shingle, each the parity of the shingles that fall on it. Two prints differ in no more
+bits than the sets in shingles, so pairs whose prints differ in more bits than a link allows go before any set is
+sent to meet another; neither a pair nor a chunk carries anything else until then.
+
 So no link is lost, and no step writes all pairs of a group. Sets are verified on their 64-bit shingle hashes,
 which a further pass over the texts gives, for documents whose content is in a bitmap of 2 ** `BITMAP` bits.
 
@@ -38,10 +42,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwick.llm.batches import lower_words, map_batches, texts
+from tarnwick.llm.batches import among, bitmap, lower_words, map_batches, texts
 from tarnwick.llm.merkle import placed
 from tarnwick.llm.near_copies import _FACTORS, _mixed
-from tarnwick.llm.near_dup import forest
 from tarnwick.operators.graph import components
 from tarnwick.session import materialise, release, table
 
@@ -90,6 +93,26 @@ def least_overlap(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The print of a set, as 64-bit words: a power of two of bits, as many for all sizes of one magnitude."""
+    bits = max(64, 2 << len(hashes).bit_length())
+    odd = (np.bincount((hashes & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(prints: np.ndarray, words: int) -> np.ndarray:
+    """Prints, one a row or a single one, as those of the same sets in so many words."""
+    while prints.shape[-1] > words:
+        half = prints.shape[-1] // 2
+        prints = prints[..., :half] ^ prints[..., half:]
+    return prints
+
+
+def apart_by(bits: np.ndarray | int, n: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of n shingles together, whose prints differ in so many bits, are too far apart for a link."""
+    return (100 + PERCENT) * bits > (100 - PERCENT) * n
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -145,13 +168,13 @@ def sized(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, magnitude: np.ndarray, words: int) -> DataFrame:
-    """(content, n, tokens) for each different set that isn't empty: its longest prefix, in order."""
+    """(content, n, tokens, print) for each different set that isn't empty: its longest prefix, in order, and its print."""
     shared = docs.sparkSession.sparkContext.broadcast(magnitude)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = shared.value, set()
         for batch in it:
-            names, sizes, tokens = [], [], []
+            names, sizes, tokens, prints = [], [], [], []
             for text in texts(batch, "text"):
                 each, h, at = shingled(text, words)
                 if not len(h) or (name := content(h)) in seen:
@@ -164,11 +187,13 @@ def prefixes(docs: DataFrame, magnitude: np.ndarray, words: int) -> DataFrame:
                 names.append(name)
                 sizes.append(len(h))
                 tokens.append(h[order[: len(h) - least_overlap(len(h)) + MOST]].view(np.int64))
+                prints.append(parity(h).tobytes())
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["content", "n", "tokens"])
+                columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["content", "n", "tokens", "print"])
 
-    found = docs.mapInArrow(run, "content long, n long, tokens array<long>")
-    return found.groupBy("content").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    found = docs.mapInArrow(run, "content long, n long, tokens array<long>, print binary")
+    return found.groupBy("content").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "print")))
 
 
 def adapted(sets: DataFrame) -> DataFrame:
@@ -177,7 +202,7 @@ def adapted(sets: DataFrame) -> DataFrame:
     need is the set's l, always `MOST` where it meets a token of more than `SMALL` sets; hot is the number of those in its prefix.
     Sets of fewer shingles than `MOST` are similar to equal ones alone, and those are collapsed.
     """
-    posted = materialise(sets, "prefixes").select("content", "n", F.posexplode("tokens").alias("pos", "token"))
+    posted = sets.select("content", "n", F.posexplode("tokens").alias("pos", "token"))
     df = materialise(posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     met = posted.join(df, "token")
     shortest = f"n - ({PERCENT} * n + 99) div 100 + 1"
@@ -193,20 +218,14 @@ def adapted(sets: DataFrame) -> DataFrame:
 
 
 def set_hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(content, hashes) for at least the contents in `wanted`: a bitmap of them keeps back most others."""
-    spark = docs.sparkSession
-    bit = wanted.select(F.expr(f"(content & {(1 << BITMAP) - 1}L) + 1").alias("bit"))
-    maps = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map")).toArrow()
-    bits = np.zeros((1 << BITMAP) // 8, np.uint8)
-    for row in maps.to_pylist():
-        start = (row["at"] - 1) * 4096
-        bits[start : start + 4096] = np.frombuffer(row["map"], np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    """(content, print, hashes) for at least the contents in `wanted`: a bitmap of them keeps back most others."""
+    bits = bitmap(wanted.select(F.expr(f"content & {(1 << BITMAP) - 1}L").alias("bit")), BITMAP)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = shared.value, set()
         for batch in it:
-            names, sets = [], []
+            names, prints, sets = [], [], []
             for text in texts(batch, "text"):
                 _, h, _ = shingled(text, words)
                 if not len(h) or (name := content(h)) in seen:
@@ -216,11 +235,34 @@ def set_hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     if len(seen) < SEEN:
                         seen.add(name)
                     names.append(name)
+                    prints.append(parity(h).tobytes())
                     sets.append(h.tobytes())
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["content", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["content", "print", "hashes"])
+
+    found = docs.mapInArrow(run, "content long, print binary, hashes binary")
+    return found.groupBy("content").agg(*(F.first(c).alias(c) for c in ("print", "hashes")))
+
 
-    return docs.mapInArrow(run, "content long, hashes binary").groupBy("content").agg(F.first("hashes").alias("hashes"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("content"))
+
+
+def near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Of (a, b) those whose prints, of (content, n, print), allow a link, as a written table."""
+    x, y = (prints.select(F.col("content").alias(c), F.col("n").alias(f"n_{c}"), F.col("print").alias(f"p_{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = []
+        for p, q in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            words = min(len(p), len(q))
+            bits.append(int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum(dtype=np.int64)))
+        keep = pa.array(~apart_by(np.array(bits, np.int64), batch.column(2).to_numpy()))
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return materialise(map_batches(both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p_a", "p_b"), run, "a long, b long"), "near")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -230,7 +272,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (a, b) those whose sets are similar, as a written table."""
-    pairs = pairs.select("a", "b")
+    pairs = materialise(pairs.select("a", "b"), "candidates")
+    sets = among(sets.select("content", "hashes"), _ends(pairs), "content")
     both = pairs.join(sets.select(F.col("content").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("content").alias("b"), F.col("hashes").alias("y")), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -285,9 +328,9 @@ def blocks(big: DataFrame, sets: DataFrame) -> DataFrame | None:
     family = components(big.join(first, "token").select(F.col("content").alias("a"), F.col("first").alias("b")))
     rows = big.select("content", F.col("n").alias("n_tokens"), "comp").distinct().join(family.select(F.col("node").alias("content"), F.col("root").alias("family")), "content")
     rows = placed(rows, "family", ["n_tokens", "content"], "members")
-    # chunks of about 2 ** 20 shingles, in order of size
+    # chunks of about 2 ** 21 shingles, in order of size; all prints of a chunk have as many bits
     kind = "cast(log2(n_tokens) as int)"
-    rows = rows.withColumn("chunk", F.expr(f"shiftleft(cast({kind} as bigint), 48) + shiftright(at, least(11, greatest(0, 20 - {kind})))"))
+    rows = rows.withColumn("chunk", F.expr(f"shiftleft(cast({kind} as bigint), 48) + shiftright(at, least(12, greatest(0, 21 - {kind})))"))
     rows = materialise(rows.select("family", "chunk", "content", "n_tokens", "comp"), "chunks")
     facts = rows.groupBy("family", "chunk").agg(F.min("n_tokens").alias("low"), F.max("n_tokens").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d"))
     facts = materialise(facts, "facts")
@@ -296,39 +339,58 @@ def blocks(big: DataFrame, sets: DataFrame) -> DataFrame | None:
     units = materialise(facts.join(later, "family").filter(fits).select("family", "chunk", "chunk2").withColumn("unit", F.monotonically_increasing_id()), "units")
     sides = F.explode(F.array_distinct(F.array("chunk", "chunk2")))
     met = rows.join(units.select("unit", "family", sides.alias("chunk"), (F.col("chunk") != F.col("chunk2")).alias("two"), F.col("chunk").alias("low")), ["family", "chunk"])
-    met = met.select("unit", (F.col("two") & (F.col("chunk") != F.col("low"))).alias("second"), "two", "comp", "content")
-    met = met.join(sets, "content").select("unit", "second", "two", "comp", "content", "hashes")
-
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        names, comps = group.column("content").to_numpy(), group.column("comp").to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-        sizes = np.array([len(x) for x in own], np.int64)
-        different, flat = np.unique(np.concatenate(own), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+    met = met.select("unit", (F.col("two") & (F.col("chunk") != F.col("low"))).alias("second"), "two", "comp", "content", "n_tokens")
+    met = met.join(sets.select("content", "print"), "content").select("unit", "second", "two", "comp", "content", "n_tokens", "print")
+
+    def close(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, those it may be linked with and that are of another component) for each row i of a unit, or of its first chunk."""
+        n, comps = group.column("n_tokens").to_numpy(), group.column("comp").to_numpy()
+        prints = [np.frombuffer(x, np.uint64) for x in group.column("print").to_pylist()]
+        words = min(map(len, prints))
+        prints = np.array([folded(x, words) for x in prints])
         second = group.column("second").to_numpy(zero_copy_only=False)
         two = bool(group.column("two")[0].as_py())
-        left = np.flatnonzero(~second) if two else np.arange(len(own))
+        left = np.flatnonzero(~second) if two else np.arange(len(n))
         right = np.flatnonzero(second) if two else left
-        if not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        tokens = np.concatenate([flat[starts[j] : starts[j + 1]] for j in right])
-        at = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
-        mark, a, b = np.zeros(len(different), bool), [], []
-        for i in left:
-            if (comps[right] == comps[i]).all():
-                continue
-            mark[:] = False
-            mark[flat[starts[i] : starts[i + 1]]] = True
-            both = np.add.reduceat(mark[tokens], at, dtype=np.int64)
-            hit = right[(100 * both >= PERCENT * (sizes[i] + sizes[right] - both)) & (comps[right] != comps[i])]
-            a += [names[i]] * len(hit)
-            b += names[hit].tolist()
-            if len(a) > 1 << 16:
-                a, b = (x.tolist() for x in forest(np.array(a, np.int64), np.array(b, np.int64)))
-        if a:
-            a, b = forest(np.array(a, np.int64), np.array(b, np.int64))
+        for at, i in enumerate(left.tolist()):
+            rest = right if two else right[at + 1 :]
+            rest = rest[(comps[rest] != comps[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))]
+            if len(rest):
+                bits = np.bitwise_count(prints[rest] ^ prints[i]).sum(1, dtype=np.int64)
+                if len(hits := rest[~apart_by(bits, n[rest] + n[i])]):
+                    yield i, hits
+
+    def candidates(group: pa.Table) -> pa.Table:
+        active = np.zeros(group.num_rows, bool)
+        for i, hits in close(group):
+            active[i] = True
+            active[hits] = True
+        return group.filter(pa.array(active))
+
+    active = materialise(met.groupBy("unit").applyInArrow(candidates, met.schema), "active")
+    wanted = among(sets.select("content", "hashes"), active, "content")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        comps, names = group.column("comp").to_numpy(), group.column("content").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+        head: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in head:
+                x = head[x]
+            return x
+
+        a, b = [], []
+        for i, hits in close(group):
+            for j in hits.tolist():
+                x, y = top(int(comps[i])), top(int(comps[j]))
+                if x != y and similar(own[i], own[j]):
+                    head[max(x, y)] = min(x, y)
+                    a.append(names[i])
+                    b.append(names[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    met = active.join(wanted, "content").select("unit", "second", "two", "comp", "content", "n_tokens", "print", "hashes")
     return materialise(met.groupBy("unit").applyInArrow(compare, "a long, b long"), "blocks")
 
 
@@ -336,13 +398,16 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     """(doc_id, n_shingles, component_id) for each row of `docs`: the smallest id reachable over links, itself included."""
     docs = _texts(docs, id_col, text_col)
     rows, magnitude = sized(docs, words)
-    runs = materialise(adapted(prefixes(docs, magnitude, words)), "runs")
+    found = materialise(prefixes(docs, magnitude, words), "prefixes")
+    runs = materialise(adapted(found), "runs")
     tested = materialise(stars(runs), "stars")
     close = materialise(pairs(runs), "pairs")
     # pairs that share no other tokens share as many busy ones as the need, which is MOST for both
     big = materialise(runs.filter(f"busy and hot >= {MOST}"), "big")
-    ends = tested.unionByName(close).select(F.explode(F.array("a", "b")).alias("content"))
-    wanted = ends.unionByName(big.select("content")).distinct()
+    prints = materialise(among(found.select("content", "n", "print"), _ends(tested.unionByName(close)), "content"), "prints")
+    tested, close = near(tested, prints), near(close, prints)
+    release(found, prints)
+    wanted = _ends(tested.unionByName(close)).unionByName(big.select("content")).distinct()
     sets = materialise(set_hashes(docs, wanted, words), "sets")
     links = verified(tested, sets)
     comps = components(links)

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tarnwick.llm import jaccard_join
@@ -82,3 +83,49 @@ def test_needs_grow_with_cost_and_lose_no_pair(spark):
 def test_small_tables(spark, rows):
     got = jaccard_join.joined(frame(spark, rows)).collect()
     assert sorted(map(tuple, got)) == sorted(jaccard_join.brute_force(rows))
+
+
+def test_prints_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in [1, 2, 15, 16, 40, 500, 511, 512, 1023, 5000]:
+        for gone in {0, 1, n // 20, n // 10, n // 2, n}:
+            x = rng.integers(0, 2**63, n, dtype=np.uint64)
+            y = np.concatenate([x[gone:], rng.integers(0, 2**63, gone // 2 + 1, dtype=np.uint64)])
+            p, q = jaccard_join.parity(x), jaccard_join.parity(y)
+            words = min(len(p), len(q))
+            bits = int(np.bitwise_count(jaccard_join.folded(p, words) ^ jaccard_join.folded(q, words)).sum())
+            assert bits <= len(np.setxor1d(x, y))
+            if jaccard_join.similar(np.sort(x), np.sort(y)):
+                assert not jaccard_join.apart_by(bits, len(x) + len(y))
+    # without chance hits there are as many bits as differences
+    far = jaccard_join.parity(rng.integers(0, 2**63, 1000, dtype=np.uint64)) ^ jaccard_join.parity(rng.integers(0, 2**63, 1000, dtype=np.uint64))
+    assert jaccard_join.apart_by(int(np.bitwise_count(far).sum()), 2000)
+
+
+@pytest.mark.parametrize("small, size", [(64, 2), (3, 10)])
+def test_sets_of_far_candidates_are_not_sent(spark, monkeypatch, small, size):
+    """Texts that share their rare shingles, but less than nine tenths of all, meet as prints alone."""
+    rng = random.Random(6)
+    texts = []
+    for g in range(40 // size):
+        rare = [f"r{g}x{i}" for i in range(100)]
+        texts += [" ".join(rare + [f"c{rng.randrange(20)}" for _ in range(40)]) for _ in range(size)]
+    texts += family(rng, 4, 2)
+    rows = list(enumerate(texts))
+    sent, write, verify = [], jaccard_join.materialise, jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, sets: sent.append(pairs.count()) or verify(pairs, sets))
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "active":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", written)
+    candidates = []
+    stars, pairs = jaccard_join.stars, jaccard_join.pairs
+    for name, f in (("stars", stars), ("pairs", pairs)):
+        monkeypatch.setattr(jaccard_join, name, lambda runs, f=f: (lambda df: candidates.append(df.count()) or df)(f(runs)))
+    assert Counter(map(tuple, jaccard_join.joined(frame(spark, rows)).collect())) == Counter(jaccard_join.brute_force(rows))
+    assert sum(candidates) > 20 and sum(sent) < 20
