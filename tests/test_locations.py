@@ -75,3 +75,19 @@ def test_distance_of_a_null_is_null(spark):
 
     row = spark.createDataFrame([(0.0, 0.0, None, 1.0), (0.0, 0.0, 180.0, 0.0)], "a double, b double, c double, d double").select(geo.haversine("a", "b", "c", "d").alias("km")).collect()
     assert row[0].km is None and abs(row[1].km - geo.EARTH_KM * 3.141592653589793) < 1e-6
+
+
+def test_decisions_where_halves_of_hashes_are_alike(spark, tmp_path):
+    """Keys whose hashes begin alike, or share runs of digits: their decisions are still those of their kinds."""
+    import duckdb
+
+    from tarnwick import queries
+
+    queries.load()
+    keys = [19702, 112309, 25302, 82945, 48952, 20696, 101122, 119732, *range(10)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = {r[0]: r for r in con.execute(queries.ORACLE_SQL["location_decisions"]).fetchall()}
+    got = {r.p_partkey: tuple(r) for r in queries.QUERIES["location_decisions"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == len(keys)
