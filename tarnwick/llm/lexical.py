@@ -34,12 +34,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.llm.batches import alnum_words, map_batches, texts
-from tarnwick.session import materialise, release, table
+from tarnwick.session import batches_of, materialise, release, table
 
 #: Documents and postings of a shard, and documents of a run.
 SHARD, POSTINGS, RUN = 4096, 1 << 20, 16
 #: Terms of the queries that are searched in one pass.
-BLOCK_TERMS = 1 << 18
+BLOCK_TERMS = 1 << 15
+#: Texts that are taken out of a batch at a time.
+TEXTS = 256
+#: Bytes of an Arrow batch of texts or of shards, about.
+BATCH = 1 << 24
+#: A row is megabytes long: Parquet asks after each whether its row group is full, not after the hundredth, and readers load a small group at once.
+LONG_ROWS = {"parquet.block.size": 1 << 24, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 _NO_ID = 2**63 - 1
 _INDEX = "ids array<long>, lengths array<long>, terms array<binary>, ends array<int>, docs array<int>, tfs array<int>"
 
@@ -48,37 +54,39 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The index: a row for each shard with ids and lengths of its documents, terms, and postings up to each term's end."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def shard(held: list[tuple[int, int, Counter]]) -> pa.RecordBatch:
+    def shard(place: dict[bytes, int], held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         held.sort(key=lambda x: x[:2])
-        names: list[bytes] = []
-        tfs: list[int] = []
-        for _, _, counts in held:
-            names += counts.keys()
-            tfs += counts.values()
-        place = {t: i for i, t in enumerate(sorted(set(names)))}
-        term = np.fromiter(map(place.__getitem__, names), np.int32, len(names))
-        doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(c) for _, _, c in held])
+        terms = sorted(place)
+        rank = np.empty(len(terms), np.int32)
+        rank[np.fromiter(map(place.__getitem__, terms), np.int32, len(terms))] = np.arange(len(terms), dtype=np.int32)
+        term = rank[np.concatenate([x[2] for x in held])]
+        doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
         order = np.argsort(term, kind="stable")
-        ends = np.cumsum(np.bincount(term, minlength=len(place)))
-        row = {"ids": [x[1] for x in held], "lengths": [x[0] for x in held], "terms": list(place), "ends": ends, "docs": doc[order], "tfs": np.array(tfs, np.int32)[order]}
+        ends = np.cumsum(np.bincount(term, minlength=len(terms)))
+        row = {"ids": [x[1] for x in held], "lengths": [x[0] for x in held], "terms": terms, "ends": ends, "docs": doc[order], "tfs": np.concatenate([x[3] for x in held])[order]}
         kinds = {"ids": pa.int64(), "lengths": pa.int64(), "terms": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(kinds.get(k, pa.int32()))) for k, v in row.items()], list(row))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a term is named once for a shard, so a posting that waits takes eight bytes
+        place: dict[bytes, int] = {}
         held, size = [], 0
         for batch in it:
-            ids = batch.column(0).fill_null(_NO_ID).to_pylist()
-            for i, text in zip(ids, texts(batch, "text"), strict=True):
-                words = alnum_words(text)
-                if not words:
-                    continue
-                held.append((len(words), i, Counter(words)))
-                size += len(held[-1][2])
-                if len(held) == SHARD or size >= POSTINGS:
-                    yield shard(held)
-                    held, size = [], 0
+            for start in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(start, TEXTS)
+                for i, text in zip(few.column(0).fill_null(_NO_ID).to_pylist(), texts(few, "text"), strict=True):
+                    words = alnum_words(text)
+                    if not words:
+                        continue
+                    counts = Counter(words)
+                    own = np.fromiter((place.setdefault(t, len(place)) for t in counts), np.int32, len(counts))
+                    held.append((len(words), i, own, np.fromiter(counts.values(), np.int32, len(counts))))
+                    size += len(counts)
+                    if len(held) == SHARD or size >= POSTINGS:
+                        yield shard(place, held)
+                        place, held, size = {}, [], 0
         if held:
-            yield shard(held)
+            yield shard(place, held)
 
     return docs.mapInArrow(run, _INDEX)
 
@@ -215,6 +223,7 @@ def pair_lists(index: DataFrame, queries: Queries, k: int) -> DataFrame:
         for pairs in block.pairs:
             whole = np.sum([shard.bound(p) for p in pairs], axis=0) if pairs else np.zeros(shard.runs, np.int64)
             scores = shard.score(pairs, 1, np.array([int(whole.argmax())]))[1] if len(whole) and whole.max() > 0 else np.zeros(0, np.int64)
+            shard.tight.clear()
             heads.append(np.sort(scores)[::-1][:k])
         cut = lambda found: np.cumsum([len(x[0]) for x in found.values()], dtype=np.int32)
         flat = lambda found, i, kind: np.concatenate([x[i] for x in found.values()]).astype(kind) if found else np.zeros(0, kind)
@@ -223,15 +232,17 @@ def pair_lists(index: DataFrame, queries: Queries, k: int) -> DataFrame:
             np.array([p[0] for p in joint], np.int32), np.array([p[1] for p in joint], np.int32), cut(joint), flat(joint, 0, np.int32), flat(joint, 1, np.int64), heads,
         ]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = batch.schema.names
-        found = [one(dict(zip(names, row, strict=True))) for row in zip(*(_flat(c) for c in batch.columns), strict=True)]
-        names = [x.split()[0] for x in _LISTS.split(", ")]
-        kinds = [pa.int64() if "long" in x else pa.int32() for x in _LISTS.split(", ")[:-1]]
-        columns = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([f[-1] for f in found], pa.list_(pa.list_(pa.int64())))], names)
+    names = [x.split()[0] for x in _LISTS.split(", ")]
+    kinds = [pa.list_(pa.int64() if "long" in x else pa.int32()) for x in _LISTS.split(", ")[:-1]] + [pa.list_(pa.list_(pa.int64()))]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                found = one({name: _flat(c)[0] for name, c in zip(own.schema.names, own.columns, strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(found, kinds, strict=True)], names)
 
-    return map_batches(index, run, _LISTS)
+    return index.mapInArrow(run, _LISTS)
 
 
 def dense(lists: dict, size: int) -> dict[int, np.ndarray]:
@@ -270,6 +281,7 @@ def ranked(lists: DataFrame, queries: Queries, cutoffs: np.ndarray, k: int) -> D
                         kept[q] = i[best], s[best]
                         if len(best) == k:
                             cutoff[q] = max(cutoff[q], s[best[-1]])
+                    shard.tight.clear()
         q = np.repeat(np.arange(len(kept), dtype=np.int32), [len(i) for i, _ in kept])
         if len(q):
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([i for i, _ in kept])), pa.array(np.concatenate([s for _, s in kept]))], ["q", "doc_id", "score"])
@@ -311,7 +323,8 @@ def search(index: DataFrame, items: DataFrame, *, id_col: str = "item_id", text_
         if not of:
             continue
         block = Queries(list(of), [sorted(x) for x in of.values()], weights, (facts[0], facts[1]))
-        lists = materialise(pair_lists(index, block, k), "pairs")
+        with batches_of(spark, BATCH):
+            lists = materialise(pair_lists(index, block, k), "pairs", **LONG_ROWS)
         heads = lists.select(F.posexplode("heads").alias("q", "scores"))
         # in two steps, so no group holds the lists of all shards
         top = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("scores")))), 1, k).alias("scores")
@@ -320,7 +333,9 @@ def search(index: DataFrame, items: DataFrame, *, id_col: str = "item_id", text_
         cutoffs = np.ones(len(block.ids), np.int64)
         cutoffs[kth.column("q").to_numpy()] = np.maximum(1, kth.column("cutoff").to_numpy())
         names = spark.createDataFrame(pa.table({"q": pa.array(range(len(block.ids)), pa.int32()), "item_id": pa.array(block.ids, rows.schema.field("item").type)}))
-        found = materialise(ranked(lists, block, cutoffs, k), "ranked").join(F.broadcast(names), "q").select("item_id", "doc_id", "score")
+        with batches_of(spark, BATCH):
+            found = materialise(ranked(lists, block, cutoffs, k), "ranked")
+        found = found.join(F.broadcast(names), "q").select("item_id", "doc_id", "score")
         release(lists)
         parts.append(found)
     kind = items.schema[id_col].dataType.simpleString()
@@ -334,7 +349,8 @@ def search(index: DataFrame, items: DataFrame, *, id_col: str = "item_id", text_
 
 def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all documents for each benchmark item."""
-    index = materialise(build_index(table(spark, sf_dir, "documents")), "index")
+    with batches_of(spark, BATCH):
+        index = materialise(build_index(table(spark, sf_dir, "documents")), "index", **LONG_ROWS)
     return search(index, table(spark, sf_dir, "benchmark"), k=10)
 
 

@@ -1,7 +1,9 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tarnwick.llm import lexical
@@ -90,3 +92,22 @@ def test_joint_maxima_decide():
     assert len(shard.score(pairs, cutoff)[0]) >= 5
     blind = lexical.Shard(shard.ids, shard.lists, shard.maxima, {p: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for p in pairs})
     assert len(blind.score(pairs, cutoff)[0]) < 5
+
+
+def test_a_task_never_holds_all_its_shards(spark, tmp_path, monkeypatch):
+    """However many shards a file has, they stand in row groups of a few."""
+    monkeypatch.setattr(lexical, "SHARD", 8)
+    monkeypatch.setattr(lexical, "BATCH", 1 << 12)
+    monkeypatch.setitem(lexical.LONG_ROWS, "parquet.block.size", 1 << 12)
+    written = {}
+    monkeypatch.setattr(lexical, "materialise", lambda df, name="t", keep=lexical.materialise, **o: written.setdefault(name, keep(df, name, **o)))
+    docs, items = tables(spark, DOCS, ITEMS)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    got = Counter(map(tuple, lexical.op11_lexical(spark, str(tmp_path)).collect()))
+    assert got == Counter(lexical.brute_force(DOCS, ITEMS, 10)) and spark.conf.get(size) == before
+    files = [pq.ParquetFile(f).metadata for f in Path(written["index"]._scratch.removeprefix("file://")).glob("*.parquet")]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(rows) > 30 and max(rows) <= 8
