@@ -252,3 +252,20 @@ def test_questionable_people(spark):
     organizations = spark.createDataFrame([("ACME Co", "Company")], "label string, kind string")
     got = {r.id: (r.score, r.confidence, r.suggested) for r in c.questionable_people(people, organizations).collect()}
     assert got == {2: (8, "high", "organization"), 3: (5, "medium", "unknown"), 4: (4, "medium", "organization")}
+
+
+def test_blocks_are_never_broadcast(spark):
+    """However small the file of the keyed rows is: dealt to parts they are many, and the driver would hold them all."""
+    keyed = spark.range(3000).selectExpr("id", "'exact:' || id % 2 as key")
+    pairs = c.blocking_pairs(keyed, "id")[0]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "REPARTITION_BY_NUM" in plan
+    assert pairs.count() == 2 * 1500 * 1499 // 2
+
+
+def test_dismissals_are_those_of_the_text(spark):
+    pairs = spark.createDataFrame([(1, 2), (9, 10), (10, 9), (3, 4), (-5, 6)], "a long, b long")
+    dismissed = spark.createDataFrame([("1|2",), ("10|9",), ("03|4",), ("4|3",), ("-5|6",), ("5",), ("x|y",), (None,), ("1|2",), ("1|2|3",)], "pair_key string")
+    assert sorted(map(tuple, c.without_dismissed(pairs, dismissed).collect())) == [(3, 4, "3|4")]
+    texts = lambda df: df.select(F.col("a").cast("string"), F.col("b").cast("string"))
+    assert sorted(map(tuple, c.without_dismissed(texts(pairs), dismissed).select("a", "b", "pair_key").collect())) == [("3", "4", "3|4")]
