@@ -91,3 +91,10 @@ def test_decisions_where_halves_of_hashes_are_alike(spark, tmp_path):
     want = {r[0]: r for r in con.execute(queries.ORACLE_SQL["location_decisions"]).fetchall()}
     got = {r.p_partkey: tuple(r) for r in queries.QUERIES["location_decisions"](spark, str(tmp_path)).collect()}
     assert got == want and len(got) == len(keys)
+
+
+def test_decided_places_ask_no_further(tables, monkeypatch):
+    asked = []
+    monkeypatch.setattr(locations.r, "alias_recall", lambda names, *rest, keep=locations.r.alias_recall: asked.append({x.norm for x in names.collect()}) or keep(names, *rest))
+    test_ladder(tables)
+    assert len(asked) == 1 and "zzyzx quarter" in asked[0] and not asked[0] & {"springfield, il", "the windy city", "old pier", "oak lane 5"}
